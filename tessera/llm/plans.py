@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import chat, quality
+from . import bpe, chat, quality
 
-_MODULES = (quality, chat)
+_MODULES = (quality, chat, bpe)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
