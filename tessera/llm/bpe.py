@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import put, table, texts
+from .common import put, struct, table, texts
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Entries a worker keeps of encoded pieces and of judged token pairs, before it starts anew.
@@ -68,7 +68,7 @@ class PrefixBPE:
 
     def fits(self, first: int, second: int) -> bool:
         """The two tokens may stand next to each other; then each of them is reachable as well."""
-        if len(self._pairs) >= 4 * CACHE:
+        if len(self._pairs) >= 2 * CACHE:
             self._pairs.clear()
         known = self._pairs[first << 20 | second] = self.merged(self.tokens[first] + self.tokens[second]) == [first, second]
         return known
@@ -185,14 +185,17 @@ def encode_text(text: str, path: str, pattern: str = public_tokenizers.PATTERN)
     return np.frombuffer(b"".join(map(known.__getitem__, split(text, pattern))), np.int32)
 
 
+def _list_array(ids: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *ids])))
+
+
 def encode(docs: DataFrame, text: str = "text", out: str = "ids", path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """`docs` with an array<int> column `out`, without special tokens. `path` must hold the ranks on every machine."""
     path = path or public_tokenizers.path(VOCABULARY)
 
     def run(column: pa.Array) -> pa.Array:
-        ids = [encode_text(t, path, pattern) for t in texts(column)]
-        ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *ids])))
+        return _list_array([encode_text(t, path, pattern) for t in texts(column)])
 
     return put(docs, out, F.arrow_udf(run, T.ArrayType(T.IntegerType())).asNondeterministic()(F.col(text)))
 
@@ -208,13 +211,27 @@ def decode(ids: Column, path: str | None = None) -> Column:
     return F.arrow_udf(run, T.BinaryType()).asNondeterministic()(ids)
 
 
+ROUND_TRIP = struct(ids=T.ArrayType(T.IntegerType()), decoded=T.BinaryType())
+
+
+def round_trip(docs: DataFrame, text: str = "text", out: str = "tokens", path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """`encode`, then `decode` of those ids, in one Python worker: a struct column of `ids` and `decoded`."""
+    path = path or public_tokenizers.path(VOCABULARY)
+
+    def run(column: pa.Array) -> pa.Array:
+        ids = [encode_text(t, path, pattern) for t in texts(column)]
+        back = pa.array(map(load(path).decode, ids), pa.binary())
+        return pa.StructArray.from_arrays([_list_array(ids), back], names=ROUND_TRIP.names)
+
+    return put(docs, out, F.arrow_udf(run, ROUND_TRIP).asNondeterministic()(F.col(text)))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = encode(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
-    return put(ids, "decoded", decode(F.col("ids"))).select(
+    return round_trip(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.size("tokens.ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("tokens.ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("tokens.decoded", 256).alias("decoded_sha256"),
     )
 
 

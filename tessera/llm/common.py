@@ -16,7 +16,13 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 _scratch: list[str] = []
 
 
+#: Bytes that go to a Python worker at once, so that long texts do not fill its memory.
+BATCH_BYTES = 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table; from now on the session's Arrow batches are bounded in bytes too."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
