@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, packing, quality, simhash
+from . import bpe, chat, packing, quality, simhash, suffixes
 
-_MODULES = (quality, chat, bpe, packing, simhash)
+_MODULES = (quality, chat, bpe, packing, simhash, suffixes)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
