@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 #: The six white-space bytes that separate words, as `bytes.split()` takes them.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-_scratch: list[str] = []
+#: Every folder that `written` made in this process.
+scratch: list[str] = []
 
 
 #: Bytes that go to a Python worker at once, so that long texts do not fill its memory.
@@ -39,17 +40,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _scratch.append(path)
+    scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes what `written` has left; only call it when no result that reads it is still to be run."""
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders that `written` made; only call it when no result that reads them is still to be run."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _scratch:
-        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
-        path.getFileSystem(conf).delete(path, True)
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
 
 
 def put(df: DataFrame, name: str, value: Column) -> DataFrame:

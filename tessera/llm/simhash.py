@@ -2,7 +2,7 @@
 
 Fingerprints are grouped first, so copies count once. Distances to reference fingerprints (pivots) alone leave a share of
 all pairs that does not fall with their number, so pairs are looked for inside bands: of six blocks of a fingerprint two at
-least are free of up to four differing bits, and two blocks' bits make a key of 20 to 22 bits. Inside a key's group the
+least are free of up to four differing bits (of ten blocks, three of up to seven), and their bits make a key. Inside a key's group the
 pivot table, computed once for all fingerprints at hand, discards every pair with a coordinate difference over the limit
 (the triangle inequality makes this exact); what survives is verified. A large group is searched breadth first against what is
 not reached yet, so that a dense group of near copies costs no pairs of its own. Groups report trees, not pairs; their
@@ -31,8 +31,6 @@ SHINGLE = 4
 LIMIT = 4
 SEED = 42
 PIVOTS = np.array([xxhash.xxh64_intdigest(f"pivot {i}".encode(), seed=SEED) for i in range(16)], np.uint64)
-#: Widths of the blocks; with `LIMIT` differing bits, two of the six are equal.
-BLOCKS = (11, 11, 11, 11, 10, 10)
 #: Groups up to this size compare their pairs at once; larger ones are searched breadth first.
 SMALL = 64
 FRONT = 128
@@ -138,19 +136,26 @@ def linked(keys: np.ndarray, prints: np.ndarray, limit: int = LIMIT) -> tuple[np
     return prints[np.concatenate(left or [np.empty(0, np.int64)])], prints[np.concatenate(right or [np.empty(0, np.int64)])]
 
 
-def _keys(fp: Column) -> Column:
-    """One key for each two of the blocks; the low bits say which two."""
-    shift, parts = 0, []
-    for width in BLOCKS:
-        parts.append(F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1)))
-        shift += width
-    return F.array(*[F.shiftleft(F.shiftleft(parts[a], 11).bitwiseOR(parts[b]), 4).bitwiseOR(F.lit(k).cast("long")) for k, (a, b) in enumerate(combinations(range(len(BLOCKS)), 2))])
+def _keys(fp: Column, limit: int) -> Column:
+    """Keys of which two fingerprints within the limit share one at least; the low bits say which blocks a key is of."""
+    equal = 2 if limit <= 4 else 3
+    n = limit + equal
+    if limit > 7:
+        raise ValueError("more differing bits than the keys allow")
+    edges = [64 * i // n for i in range(n + 1)]
+    parts = [F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << hi - lo) - 1)) for lo, hi in zip(edges, edges[1:], strict=False)]
+    width = max(hi - lo for lo, hi in zip(edges, edges[1:], strict=False))
+    keys = []
+    for k, some in enumerate(combinations(range(n), equal)):
+        key = parts[some[0]]
+        for i in some[1:]:
+            key = F.shiftleft(key, width).bitwiseOR(parts[i])
+        keys.append(F.shiftleft(key, 7).bitwiseOR(F.lit(k).cast("long")))
+    return F.array(*keys)
 
 
 def near_links(prints: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(a, b): links between distinct fingerprints of the column `fp`, enough to join every component."""
-    if limit > len(BLOCKS) - 2:
-        raise ValueError("the blocks do not allow so many differing bits")
 
     def search(batches):
         kept: list[pa.RecordBatch] = []
@@ -171,20 +176,35 @@ def near_links(prints: DataFrame, limit: int = LIMIT) -> DataFrame:
         if kept:
             yield from results(pa.Table.from_batches(kept))
 
-    keyed = prints.select("fp", F.explode(_keys(F.col("fp"))).alias("key"))
+    keyed = prints.select("fp", F.explode(_keys(F.col("fp"), limit)).alias("key"))
     sorted_ = keyed.repartition("key").sortWithinPartitions("key", "fp")
     return sorted_.mapInArrow(search, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, limit: int = LIMIT) -> DataFrame:
     """(key, fp, component_id) for each row of `docs`."""
-    own = written(docs.select(F.col(f"`{key}`").alias("doc_id"), simhash(F.col(f"`{text}`")).alias("fp")), "simhash")
+    own = written(docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), simhash(F.col(f"`{text}`"), shingle).alias("fp")), "simhash")
+    return own.join(_labels(own, limit).select("fp", "component_id"), "fp").select(F.col("doc_id").alias(key), "fp", "component_id")
+
+
+def _labels(own: DataFrame, limit: int) -> DataFrame:
+    """(fp, least, root, component_id) for each fingerprint of `own` (doc_id, fp)."""
     classes = written(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
-    roots = components(near_links(classes.select("fp")), "simhash-links")
+    roots = components(near_links(classes.select("fp"), limit), "simhash-links")
     with_root = classes.join(roots.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = with_root.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = with_root.join(least, "root").select("fp", "component_id")
-    return own.join(labels, "fp").select(F.col("doc_id").alias(key), "fp", "component_id")
+    return with_root.join(least, "root").select("fp", "least", "root", "component_id")
+
+
+def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, limit: int = LIMIT) -> DataFrame:
+    """The rows of `docs` that stay when of each component only the row of the least id does (of equal rows, one)."""
+    marked = put(docs, "__fp", simhash(F.col(f"`{text}`"), shingle))
+    own = written(marked.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col("__fp").alias("fp")), "simhash")
+    labels = _labels(own, limit)
+    # the component's row of least id; where several fingerprints have that id, the least of them
+    stay = labels.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("x")).select(F.col("x.least").alias("__least"), F.col("x.fp").alias("__stay"))
+    kept = marked.join(stay, (F.col("__fp") == F.col("__stay")) & F.col(f"`{key}`").cast("long").eqNullSafe(F.col("__least")), "left_semi")
+    return kept.dropDuplicates(["__fp", key]).drop("__fp")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -238,25 +238,47 @@ def cut(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, data[at:]])
 
 
-REMOVED = struct(n_bytes=T.LongType(), n_removed=T.LongType(), runs=T.ArrayType(struct(s=T.IntegerType(), e=T.IntegerType())), kept=T.BinaryType())
+def _whole_characters(data: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The runs without the bytes of characters that they hold in part."""
+    out = []
+    for s, e in runs:
+        while s < e and data[s] & 0xC0 == 0x80:
+            s += 1
+        while e > s and e < len(data) and data[e] & 0xC0 == 0x80:
+            e -= 1
+        if s < e:
+            out.append((s, e))
+    return out
+
+
+def _removed(kept: T.DataType) -> T.StructType:
+    return struct(n_bytes=T.LongType(), n_removed=T.LongType(), runs=T.ArrayType(struct(s=T.IntegerType(), e=T.IntegerType())), kept=kept)
+
 
+def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", out: str = "dedup", length: int = LENGTH, probe: int = PROBE, characters: bool = False) -> DataFrame:
+    """`docs` with a struct column `out`: n_bytes, n_removed, the maximal removed runs, and the bytes kept.
 
-def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", out: str = "dedup", length: int = LENGTH, probe: int = PROBE) -> DataFrame:
-    """`docs` with a struct column `out`: n_bytes, n_removed, the maximal removed runs, and the bytes kept."""
+    With `characters`, runs leave out what they hold of a character in part, and `kept` is a string.
+    """
     own = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     own = own.withColumn("text_hash", F.xxhash64("text"))
     spans = repeated_spans(own, length, probe).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
+    run_type = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
+    kept_type = pa.string() if characters else pa.binary()
 
     def remove(column: pa.Array, found: pa.Array) -> pa.Array:
         rows = []
         for t, s in zip(texts(column), found.to_pylist(), strict=True):
             data, runs = t.encode(), _union(s)
+            if characters:
+                runs = _whole_characters(data, runs)
             rows.append({"n_bytes": len(data), "n_removed": sum(e - s for s, e in runs), "runs": [{"s": s, "e": e} for s, e in runs], "kept": cut(data, runs)})
-        return pa.array(rows, pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("runs", pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), ("kept", pa.binary())]))
+        return pa.array(rows, pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("runs", run_type), ("kept", kept_type)]))
 
     same = F.col(f"`{key}`").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))) == F.col("__hash"))
     joined = docs.join(spans, same, "left")
-    return put(joined, out, F.arrow_udf(remove, REMOVED).asNondeterministic()(F.col(f"`{text}`"), F.col("__spans"))).drop("__id", "__hash", "__spans")
+    kind = _removed(T.StringType() if characters else T.BinaryType())
+    return put(joined, out, F.arrow_udf(remove, kind).asNondeterministic()(F.col(f"`{text}`"), F.col("__spans"))).drop("__id", "__hash", "__spans")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
