@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +63,25 @@ def words_of(text: bytes) -> list[bytes]:
     return text.split()
 
 
+class Memo(dict):
+    """What `make` gives for a key, kept for the keys used lately: at least `size` and at most twice as many of them."""
+
+    def __init__(self, make: Callable, size: int, longest: int = 32):
+        super().__init__()
+        self.make, self.size, self.longest, self.old = make, size, longest, {}
+
+    def __missing__(self, key):
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 def texts(column) -> list[str]:
     """The Arrow column's values, null as the empty text."""
     return [t or "" for t in column.to_pylist()]

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -23,63 +24,57 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import put, struct, table, texts
+from .common import Memo, put, struct, table, texts
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 LENGTH = 4096
 #: Documents in a shard on average; an index and the ids of so many are held at once.
 SHARD_ROWS = 1024
-CACHE = 400_000
+#: Words, and parts of words, that a worker keeps of those used lately.
+CACHE = 200_000
 
 #: Words of these characters are composed and lower-cased character by character, and split at the classes' edges only.
 _SIMPLE = re.compile(r"[!-~À-ÖØ-öø-įı-ſ]+")
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
 
 
-class _Words(dict):
-    """Ids of words seen, as bytes of 16-bit ids: white space always parts tokens, so words can be encoded one by one."""
+class WordEncoder:
+    """Ids of words, as bytes of 16-bit ids: white space always parts tokens, so words can be encoded one by one."""
 
     def __init__(self, path: str):
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids need more than 16 bits")
-        self.parts: dict[str, bytes] = {}
-
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16).tobytes()
-
-    def __missing__(self, word: bytes) -> bytes:
+        self.model = self.tokenizer.model
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the byte-level alphabet shows other bytes as characters from 256 on
+        hidden = [b for b in range(256) if b not in visible]
+        self.alphabet = {b: 256 + i for i, b in enumerate(hidden)}
+        self.parts = Memo(self._part, CACHE)
+        self.words = Memo(self._word, CACHE)
+
+    def _part(self, part: str) -> bytes:
+        """What the model makes of one whole part, in the alphabet that it is given its input in."""
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(self.alphabet)
+        return array("H", [t.id for t in self.model.tokenize(part)]).tobytes()
+
+    def _word(self, word: bytes) -> bytes:
         text = word.decode()
-        if _SIMPLE.fullmatch(text):
-            ids = b""
-            for part in _PARTS.findall(text.lower()):
-                known = self.parts.get(part)
-                if known is None:
-                    if len(self.parts) > CACHE:
-                        self.parts.clear()
-                    known = self.parts[part] = self._encode(part)
-                ids += known
-        else:
-            ids = self._encode(text)
-        if len(word) <= 32:
-            self[word] = ids
-        return ids
+        if text.isascii() and text.isprintable() or _SIMPLE.fullmatch(text):
+            return b"".join(map(self.parts.__getitem__, _PARTS.findall(text.lower())))
+        return array("H", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
 
 @lru_cache(2)
-def _words(path: str) -> _Words:
-    return _Words(path)
+def _encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
 
 
 def encode_text(text: str, path: str) -> bytes:
     """Little-endian 16-bit ids, the end id last."""
-    known = _words(path)
-    if len(known) > CACHE:
-        known.clear()
-    return b"".join(map(known.__getitem__, text.encode().split())) + END_ID.to_bytes(2, "little")
+    return b"".join(map(_encoder(path).words.__getitem__, text.encode().split())) + END_ID.to_bytes(2, "little")
 
 
 class BM25:
@@ -87,24 +82,21 @@ class BM25:
 
     def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75):
         n = self.n = len(docs)
-        pairs = [np.unique(d, return_counts=True) for d in docs]
-        sizes = np.array([len(t) for t, _ in pairs])
-        term = np.concatenate([t for t, _ in pairs]).astype(np.int64)
-        tf = np.concatenate([c for _, c in pairs]).astype(np.float32)
-        owner = np.repeat(np.arange(n), sizes)
-        length = np.array([len(d) for d in docs], np.float32)
-        order = np.argsort(term, kind="stable")
+        length = np.array([len(d) for d in docs], np.int64)
+        pair, tf = np.unique(np.repeat(np.arange(n) << 16, length) | np.concatenate(docs), return_counts=True)
+        owner, term = pair >> 16, pair & 0xFFFF
         self.df = np.bincount(term)
         self.at = np.cumsum(self.df) - self.df
         norm = k1 * (1 - b + b * length / length.mean())
-        idf = np.log1p((n - self.df + 0.5) / (self.df + 0.5)).astype(np.float32)
+        idf = np.log1p((n - self.df + 0.5) / (self.df + 0.5))
+        order = np.argsort(term.astype(np.uint16), kind="stable")
         self.owner = owner[order]
         self.weight = (idf[term] * tf * (k1 + 1) / (tf + norm[owner]))[order]
-        self.terms = [t for t, _ in pairs]
+        self.terms = np.split(term, np.searchsorted(owner, np.arange(1, n)))
 
     def scores(self, seed: int) -> np.ndarray:
         """Of every document for the seed's terms."""
-        t = self.terms[seed].astype(np.int64)
+        t = self.terms[seed]
         size = self.df[t]
         ends = np.cumsum(size)
         at = np.repeat(self.at[t] - (ends - size), size) + np.arange(ends[-1])
