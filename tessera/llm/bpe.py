@@ -23,11 +23,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import put, struct, table, texts
+from .common import Memo, put, struct, table, texts
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Entries a worker keeps of encoded pieces and of judged token pairs, before it starts anew.
-CACHE = 500_000
+#: Pieces and token pairs that a worker keeps, of those used lately.
+CACHE = 250_000
 
 
 class PrefixBPE:
@@ -68,7 +68,7 @@ class PrefixBPE:
 
     def fits(self, first: int, second: int) -> bool:
         """The two tokens may stand next to each other; then each of them is reachable as well."""
-        if len(self._pairs) >= 2 * CACHE:
+        if len(self._pairs) >= 4 * CACHE:
             self._pairs.clear()
         known = self._pairs[first << 20 | second] = self.merged(self.tokens[first] + self.tokens[second]) == [first, second]
         return known
@@ -135,20 +135,6 @@ def load(path: str) -> PrefixBPE:
         return PrefixBPE({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
 
 
-class _Pieces(dict):
-    """Encodings of pieces seen, as bytes of 32-bit ids."""
-
-    def __init__(self, bpe: PrefixBPE):
-        super().__init__()
-        self.bpe = bpe
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.bpe.piece(piece.encode()), np.int32).tobytes()
-        if len(piece) <= 32:
-            self[piece] = ids
-        return ids
-
-
 #: Characters that every Unicode version of the last twenty years classes alike.
 SETTLED = regex.compile(r"[\x00-\u024f\u2000-\u206f\u20ac]*")
 
@@ -174,15 +160,14 @@ def split(text: str, pattern: str = public_tokenizers.PATTERN) -> list[str]:
 
 
 @lru_cache(2)
-def _pieces(path: str) -> _Pieces:
-    return _Pieces(load(path))
+def _pieces(path: str) -> Memo:
+    """Encodings of pieces, as bytes of 32-bit ids."""
+    bpe = load(path)
+    return Memo(lambda piece: np.array(bpe.piece(piece.encode()), np.int32).tobytes(), CACHE)
 
 
 def encode_text(text: str, path: str, pattern: str = public_tokenizers.PATTERN) -> np.ndarray:
-    known = _pieces(path)
-    if len(known) > CACHE:
-        known.clear()
-    return np.frombuffer(b"".join(map(known.__getitem__, split(text, pattern))), np.int32)
+    return np.frombuffer(b"".join(map(_pieces(path).__getitem__, split(text, pattern))), np.int32)
 
 
 def _list_array(ids: list[np.ndarray]) -> pa.ListArray:
