@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, packing, quality, simhash, suffixes
+from . import bpe, chat, packing, quality, simhash, suffixes, urls
 
-_MODULES = (quality, chat, bpe, packing, simhash, suffixes)
+_MODULES = (quality, urls, suffixes, simhash, chat, bpe, packing)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
