@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, packing, quality, simhash, suffixes, urls
+from . import bpe, chat, packing, quality, simhash, suffixes, urls, vectors
 
-_MODULES = (quality, urls, suffixes, simhash, chat, bpe, packing)
+_MODULES = (quality, urls, suffixes, simhash, chat, bpe, vectors, packing)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
