@@ -12,7 +12,6 @@ go to the earlier document, by id and then by ids; a null document id sorts firs
 from __future__ import annotations
 
 import re
-import zlib
 from array import array
 from functools import lru_cache
 
@@ -32,7 +31,7 @@ LENGTH = 4096
 #: Documents in a shard on average; an index and the ids of so many are held at once.
 SHARD_ROWS = 1024
 #: Words, and parts of words, that a worker keeps of those used lately.
-CACHE = 200_000
+CACHE, PARTS = 300_000, 150_000
 
 #: Words of these characters are composed and lower-cased character by character, and split at the classes' edges only.
 _SIMPLE = re.compile(r"[!-~À-ÖØ-öø-įı-ſ]+")
@@ -51,7 +50,7 @@ class WordEncoder:
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the byte-level alphabet shows other bytes as characters from 256 on
         hidden = [b for b in range(256) if b not in visible]
         self.alphabet = {b: 256 + i for i, b in enumerate(hidden)}
-        self.parts = Memo(self._part, CACHE)
+        self.parts = Memo(self._part, PARTS)
         self.words = Memo(self._word, CACHE)
 
     def _part(self, part: str) -> bytes:
@@ -156,7 +155,7 @@ PIECES = struct(doc_id=T.LongType(), start=T.LongType(), length=T.LongType(), id
 
 
 def retrieval_packing(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, length: int = LENGTH, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Pieces of `docs`: doc_id, start, length, ids (little-endian 16-bit), doc_tokens, sequence_id, offset."""
+    """Pieces of `docs`: doc_id, start, length, ids (little-endian, 32 bits each), doc_tokens, sequence_id, offset."""
     path = path or public_tokenizers.path(VOCABULARY)
 
     def tokenize(column: pa.Array) -> pa.Array:
@@ -172,7 +171,7 @@ def retrieval_packing(docs: DataFrame, key: str = "doc_id", text: str = "text",
                 "doc_id": pa.array([rows[i][0] for i, *_ in p], pa.int64()),
                 "start": pa.array([x[1] for x in p], pa.int64()),
                 "length": pa.array([x[2] for x in p], pa.int64()),
-                "ids": pa.array([ids[i][s : s + n].tobytes() for i, s, n, _, _ in p], pa.binary()),
+                "ids": pa.array([ids[i][s : s + n].astype("<u4").tobytes() for i, s, n, _, _ in p], pa.binary()),
                 "doc_tokens": pa.array([len(ids[x[0]]) for x in p], pa.int64()),
                 "sequence_id": pa.array([number << 32 | x[3] for x in p], pa.int64()),
                 "offset": pa.array([x[4] for x in p], pa.int64()),
@@ -191,12 +190,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def digest(pieces: DataFrame) -> DataFrame:
-    """The pieces with a checksum, of the ids as 32-bit integers, in their place."""
-
-    def crc(column: pa.Array) -> pa.Array:
-        return pa.array([zlib.crc32(np.frombuffer(x, np.uint16).astype("<u4").tobytes()) for x in column.to_pylist()], pa.int64())
-
-    return pieces.select("doc_id", "start", "length", F.arrow_udf(crc, T.LongType())(F.col("ids")).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    """The pieces with a checksum of their ids in place of the ids."""
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 QUERIES = {"op10_packing": op10_packing}

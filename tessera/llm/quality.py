@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from .common import put, struct, table, texts
 
 #: Words in one numpy pass: bounds a worker's memory whatever the batch holds; one longer text is a pass of its own.
-PASS_WORDS = 1_000_000
+PASS_WORDS = 300_000
 
 
 @dataclass(frozen=True)
