@@ -7,6 +7,8 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,5 +89,27 @@ def texts(column) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+def values(batch: pa.RecordBatch, column: str) -> np.ndarray:
+    return batch.column(column).to_numpy()
+
+
+def whole_groups(batches, key: str):
+    """Tables of whole groups, some or one at a time, from batches sorted by `key`."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = values(batch, key)
+        last = int(np.searchsorted(keys, keys[-1]))
+        if kept and (last or values(kept[0], key)[0] != keys[-1]):
+            yield pa.Table.from_batches([*kept, batch.slice(0, last)])
+            kept = []
+        elif last:
+            yield pa.Table.from_batches([batch.slice(0, last)])
+        kept.append(batch.slice(last))
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
 def struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in fields.items()])

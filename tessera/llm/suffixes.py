@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .anchors import anchors
-from .common import put, struct, table, texts, written
+from .common import put, struct, table, texts, values, whole_groups, written
 
 LENGTH = 400
 PROBE = 128
@@ -94,28 +94,6 @@ def repeated_windows(contexts: list[bytes], length: int = LENGTH) -> list[np.nda
     return [family.repeated[a : a + n] for a, n in zip(at, count, strict=True)]
 
 
-def _groups(batches, key: str):
-    """Tables of whole groups from batches sorted by `key`."""
-    kept: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        ends = key_of(batch, key)
-        last = int(np.searchsorted(ends, ends[-1]))
-        if kept and (last or key_of(kept[0], key)[0] != ends[-1]):
-            yield pa.Table.from_batches([*kept, batch.slice(0, last)])
-            kept = []
-        elif last:
-            yield pa.Table.from_batches([batch.slice(0, last)])
-        kept.append(batch.slice(last))
-    if kept:
-        yield pa.Table.from_batches(kept)
-
-
-def key_of(batch: pa.RecordBatch, key: str) -> np.ndarray:
-    return batch.column(key).to_numpy()
-
-
 ANCHOR = struct(doc_id=T.LongType(), text_hash=T.LongType(), probe=T.LongType(), cover=T.LongType(), place=T.IntegerType(), first=T.IntegerType(), last=T.IntegerType())
 
 
@@ -135,7 +113,7 @@ def _anchor_rows(length: int, probe: int):
 def _combine(batches):
     """Rows of equal probe and cover are counted where they are, before any shuffle."""
     for batch in batches:
-        probe, cover = key_of(batch, "probe"), key_of(batch, "cover")
+        probe, cover = values(batch, "probe"), values(batch, "cover")
         order = np.lexsort((cover, probe))
         fresh = np.append(True, (np.diff(probe[order]) != 0) | (np.diff(cover[order]) != 0))[: len(order)]
         at = np.flatnonzero(fresh)
@@ -145,7 +123,7 @@ def _combine(batches):
 
 def _live(batches):
     """Of sorted rows those that can repeat: of each probe and cover one, whether it occurs twice, and how many covers the probe has."""
-    for rows in _groups(batches, "probe"):
+    for rows in whole_groups(batches, "probe"):
         probe, cover, n = (rows[c].to_numpy() for c in ("probe", "cover", "n"))
         new = np.append(True, probe[1:] != probe[:-1])
         fresh = new | np.append(True, cover[1:] != cover[:-1])
@@ -179,7 +157,7 @@ def _resolve(length: int):
 
     def run(batches):
         pending, size = [], 0
-        for rows in _groups(batches, "shard"):
+        for rows in whole_groups(batches, "shard"):
             pending.append(rows)
             size += sum(map(len, rows["context"].to_pylist())) - (length - 1) * rows.num_rows
             if size >= SHARD:
