@@ -61,6 +61,8 @@ class WordEncoder:
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
+        if text.isascii() and text.isalpha():
+            return self.parts[text.lower()]
         if text.isascii() and text.isprintable() or _SIMPLE.fullmatch(text):
             return b"".join(map(self.parts.__getitem__, _PARTS.findall(text.lower())))
         return array("H", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
@@ -85,9 +87,12 @@ class BM25:
         pair, tf = np.unique(np.repeat(np.arange(n) << 16, length) | np.concatenate(docs), return_counts=True)
         owner, term = pair >> 16, pair & 0xFFFF
         self.df = np.bincount(term)
-        self.at = np.cumsum(self.df) - self.df
         norm = k1 * (1 - b + b * length / length.mean())
-        idf = np.log1p((n - self.df + 0.5) / (self.df + 0.5))
+        idf = np.maximum(0, np.log((n - self.df + 0.5) / (self.df + 0.5)))
+        useful = idf[term] > 0  # terms of half the documents and more weigh nothing, so they have no postings
+        owner, term, tf = owner[useful], term[useful], tf[useful]
+        self.df = np.bincount(term, minlength=len(self.df))
+        self.at = np.cumsum(self.df) - self.df
         order = np.argsort(term.astype(np.uint16), kind="stable")
         self.owner = owner[order]
         self.weight = (idf[term] * tf * (k1 + 1) / (tf + norm[owner]))[order]
@@ -96,6 +101,8 @@ class BM25:
     def scores(self, seed: int) -> np.ndarray:
         """Of every document for the seed's terms."""
         t = self.terms[seed]
+        if not len(t):
+            return np.zeros(self.n)
         size = self.df[t]
         ends = np.cumsum(size)
         at = np.repeat(self.at[t] - (ends - size), size) + np.arange(ends[-1])
