@@ -68,8 +68,11 @@ def words_of(text: bytes) -> list[bytes]:
 class Memo(dict):
     """What `make` gives for a key, kept for the keys used lately: at least `size` and at most twice as many of them."""
 
+    every: list[Memo] = []
+
     def __init__(self, make: Callable, size: int, longest: int = 32):
         super().__init__()
+        Memo.every.append(self)
         self.make, self.size, self.longest, self.old = make, size, longest, {}
 
     def __missing__(self, key):
@@ -84,6 +87,14 @@ class Memo(dict):
         return value
 
 
+def keep_only(*memos: Memo) -> None:
+    """Empties all other memos of this worker, which serves one operator after another."""
+    for m in Memo.every:
+        if not any(m is k for k in memos):
+            m.clear()
+            m.old = {}
+
+
 def texts(column) -> list[str]:
     """The Arrow column's values, null as the empty text."""
     return [t or "" for t in column.to_pylist()]

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import Memo, put, struct, table, texts
+from .common import Memo, keep_only, put, struct, table, texts
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
@@ -166,9 +166,11 @@ def retrieval_packing(docs: DataFrame, key: str = "doc_id", text: str = "text",
     path = path or public_tokenizers.path(VOCABULARY)
 
     def tokenize(column: pa.Array) -> pa.Array:
+        keep_only(_encoder(path).words, _encoder(path).parts)
         return pa.array([encode_text(t, path) for t in texts(column)], pa.binary())
 
     def shard(t: pa.Table) -> pa.Table:
+        keep_only()
         number = t["shard"][0].as_py()
         rows = sorted(zip(t["doc_id"].to_pylist(), t["ids"].to_pylist(), strict=True), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
         ids = [np.frombuffer(r[1], np.uint16) for r in rows]

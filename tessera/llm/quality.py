@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import put, struct, table, texts
+from .common import keep_only, put, struct, table, texts
 
 #: Words in one numpy pass: bounds a worker's memory whatever the batch holds; one longer text is a pass of its own.
 PASS_WORDS = 300_000
@@ -150,6 +150,7 @@ def quality_rules(docs: DataFrame, text: str = "text", out: str = "quality", rul
     """`docs` with a struct column `out`: the counts, `covered` (bytes of words inside repeats over bytes of words) and the verdict `kept`."""
 
     def judge(column: pa.Array) -> pa.Array:
+        keep_only()
         s = repetition_stats(texts(column), rules)
         covered = s["repeat_bytes"] / np.maximum(1, s["word_bytes"])
         failed = (s["n_words"] < rules.min_words) | (100 * s["n_repeat_words"] > rules.base_percent * s["n_words"])

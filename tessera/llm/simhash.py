@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import put, table, texts, written
+from .common import keep_only, put, table, texts, written
 from .graphs import components
 
 SHINGLE = 4
@@ -62,6 +62,7 @@ def simhash(text: Column, shingle: int = SHINGLE) -> Column:
     """The fingerprint as a signed long."""
 
     def run(column: pa.Array) -> pa.Array:
+        keep_only()
         return pa.array(np.array([fingerprint(t, shingle) for t in texts(column)], np.uint64).view(np.int64))
 
     return F.arrow_udf(run, T.LongType()).asNondeterministic()(text)
@@ -82,8 +83,8 @@ def _search(prints: np.ndarray, table: np.ndarray, limit: int) -> list[tuple[np.
         low, high = table[front].min(0) - limit, table[front].max(0) + limit
         near = np.flatnonzero(((table[among] >= low) & (table[among] <= high)).all(1))
         found, whom = [], []
-        for at in range(0, len(near), 1 << 16):
-            part = near[at : at + (1 << 16)]
+        for at in range(0, len(near), 1 << 14):
+            part = near[at : at + (1 << 14)]
             close = np.bitwise_count(prints[front][:, None] ^ prints[among[part]][None, :]) <= limit
             any_ = close.any(0)
             found.append(part[any_])
@@ -127,8 +128,8 @@ def linked(keys: np.ndarray, prints: np.ndarray, limit: int = LIMIT) -> tuple[np
         i = np.flatnonzero(small[:-d] & (keys[d:] == keys[:-d]))
         if not len(i):
             break
-        for at in range(0, len(i), 1 << 18):
-            verify(i[at : at + (1 << 18)], i[at : at + (1 << 18)] + d)
+        for at in range(0, len(i), 1 << 16):
+            verify(i[at : at + (1 << 16)], i[at : at + (1 << 16)] + d)
     for s, n in zip(edge[size > SMALL], size[size > SMALL], strict=True):
         for a, b in _search(prints[s : s + n], table[s : s + n], limit):
             left.append(a + s)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .anchors import anchors
-from .common import put, struct, table, texts, values, whole_groups, written
+from .common import keep_only, put, struct, table, texts, values, whole_groups, written
 
 LENGTH = 400
 PROBE = 128
@@ -99,6 +99,7 @@ ANCHOR = struct(doc_id=T.LongType(), text_hash=T.LongType(), probe=T.LongType(),
 
 def _anchor_rows(length: int, probe: int):
     def run(batches):
+        keep_only()
         for batch in batches:
             ids, hashes = batch.column("doc_id"), batch.column("text_hash")
             found = [anchors(t.encode(), length, probe) for t in texts(batch.column("text"))]
