@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-EMBED = T.StructType.fromDDL(
+EMBED = (
     "model string, texts array<string>, inputs array<struct<content:array<struct<type:string,text:string>>>>, images array<string>, input_type string, "
     "embedding_types array<string>, output_dimension int, max_tokens int, truncate string, priority int"
 )
-RERANK = T.StructType.fromDDL(
+RERANK = (
     "model string, query string, documents array<string>, top_n int, return_documents boolean, rank_fields array<string>, max_chunks_per_doc int, max_tokens_per_doc int, priority int"
 )
-OPENAI = T.StructType.fromDDL("model string, input array<string>, encoding_format string, dimensions int, user string")
+OPENAI = "model string, input array<string>, encoding_format string, dimensions int, user string"
 #: Fixed values of the request format, in the order in which messages list them.
 INPUT_TYPES = ("search_document", "search_query", "classification", "clustering")
 
@@ -143,7 +142,7 @@ def validate_openai() -> Column:
     return F.struct(found["status"].alias("status"), found["message"].alias("message"), F.when(found["status"] == 404, "model_not_found").alias("code"))
 
 
-def parse(bodies: DataFrame, schema: T.StructType, body: str = "body") -> DataFrame:
+def parse(bodies: DataFrame, schema: str, body: str = "body") -> DataFrame:
     """The body's fields, and `malformed` where it is no JSON object; unknown keys are ignored."""
     v = F.try_parse_json(body)
     malformed = v.isNull() | ~F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))

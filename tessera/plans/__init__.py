@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import rerank, tokens, vectors
+from . import evaluation, requests, rerank, tokens, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (rerank, vectors, tokens)
+_MODULES = (rerank, vectors, tokens, requests, evaluation)
 
 
 def registry() -> tuple[dict[str, Query], dict[str, str]]:
