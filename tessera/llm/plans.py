@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, lm, packing, quality, simhash, suffixes, urls, vectors
+from . import bpe, chat, html, lm, packing, quality, simhash, suffixes, urls, vectors
 
-_MODULES = (quality, urls, suffixes, simhash, chat, bpe, vectors, lm, packing)
+_MODULES = (quality, urls, suffixes, simhash, chat, bpe, html, vectors, lm, packing)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
