@@ -56,6 +56,16 @@ def release(spark: SparkSession, paths: list[str]) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of `df` has, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def put(df: DataFrame, name: str, value: Column) -> DataFrame:
     """`df` with `value` as the last column `name`; input columns whose names clash with it, in any case, are replaced."""
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() != name.lower()], value.alias(name))

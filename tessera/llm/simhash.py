@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keep_only, put, table, texts, written
+from .common import fresh, keep_only, table, texts, written
 from .graphs import components
 
 SHINGLE = 4
@@ -199,13 +199,14 @@ def _labels(own: DataFrame, limit: int) -> DataFrame:
 
 def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, limit: int = LIMIT) -> DataFrame:
     """The rows of `docs` that stay when of each component only the row of the least id does (of equal rows, one)."""
-    marked = put(docs, "__fp", simhash(F.col(f"`{text}`"), shingle))
-    own = written(marked.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col("__fp").alias("fp")), "simhash")
+    fp, least_, stay_ = fresh(docs, "fp", "least", "stay")
+    marked = docs.withColumn(fp, simhash(F.col(f"`{text}`"), shingle))
+    own = written(marked.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(fp).alias("fp")), "simhash")
     labels = _labels(own, limit)
     # the component's row of least id; where several fingerprints have that id, the least of them
-    stay = labels.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("x")).select(F.col("x.least").alias("__least"), F.col("x.fp").alias("__stay"))
-    kept = marked.join(stay, (F.col("__fp") == F.col("__stay")) & F.col(f"`{key}`").cast("long").eqNullSafe(F.col("__least")), "left_semi")
-    return kept.dropDuplicates(["__fp", key]).drop("__fp")
+    stay = labels.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("x")).select(F.col("x.least").alias(least_), F.col("x.fp").alias(stay_))
+    kept = marked.join(stay, (F.col(fp) == F.col(stay_)) & F.col(f"`{key}`").cast("long").eqNullSafe(F.col(least_)), "left_semi")
+    return kept.dropDuplicates([fp, key]).drop(fp)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

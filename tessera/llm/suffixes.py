@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .anchors import anchors
-from .common import keep_only, put, struct, table, texts, values, whole_groups, written
+from .common import fresh, keep_only, put, struct, table, texts, values, whole_groups, written
 
 LENGTH = 400
 PROBE = 128
@@ -241,7 +241,8 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", out:
     """
     own = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     own = own.withColumn("text_hash", F.xxhash64("text"))
-    spans = repeated_spans(own, length, probe).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
+    id_, hash_, spans_ = fresh(docs, "id", "hash", "spans")
+    spans = repeated_spans(own, length, probe).select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.col("spans").alias(spans_))
     run_type = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
     kept_type = pa.string() if characters else pa.binary()
 
@@ -254,10 +255,10 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", out:
             rows.append({"n_bytes": len(data), "n_removed": sum(e - s for s, e in runs), "runs": [{"s": s, "e": e} for s, e in runs], "kept": cut(data, runs)})
         return pa.array(rows, pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("runs", run_type), ("kept", kept_type)]))
 
-    same = F.col(f"`{key}`").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))) == F.col("__hash"))
+    same = F.col(f"`{key}`").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))) == F.col(hash_))
     joined = docs.join(spans, same, "left")
     kind = _removed(T.StringType() if characters else T.BinaryType())
-    return put(joined, out, F.arrow_udf(remove, kind).asNondeterministic()(F.col(f"`{text}`"), F.col("__spans"))).drop("__id", "__hash", "__spans")
+    return put(joined, out, F.arrow_udf(remove, kind).asNondeterministic()(F.col(f"`{text}`"), F.col(spans_))).drop(id_, hash_, spans_)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
