@@ -2,7 +2,7 @@
 
 A vector is its cell's centre plus a length times a direction, and directions are cut into subspaces of 16 centres each. Codes
 and centres minimise a loss in which the error along the vector weighs more than the error across it, since that part moves
-large inner products. A query's tables, two four-bit codes to a byte, are summed over the codes of a shard; the best of every
+large inner products; the error that is left along the cell's centre, which all vectors of a cell share, is kept as a number. A query's tables, two four-bit codes to a byte, are summed over the codes of a shard; the best of every
 shard are reranked with the original vectors in double precision.
 
 Queries and vectors meet in tiles of bounded size, all queries against all vectors. The quantiser is fitted on `SAMPLE` vectors of the
@@ -34,7 +34,7 @@ CELLS = 64
 #: Vectors of a shard, queries of a block, and what the tables hand on for reranking from each shard.
 SHARD_ROWS = 16384
 BLOCK_ROWS = 4096
-SHORTLIST = 400
+SHORTLIST = 600
 
 
 class AnisotropicQuantizer:
@@ -111,10 +111,13 @@ class AnisotropicQuantizer:
         return self
 
     def encode(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(codes, two to a byte; cells; lengths)."""
+        """(codes, two to a byte; cells; lengths; by what share of the cell's centre the code errs along it)."""
         cell, size, rest, along = self._split(vectors)
         codes = self._assign(rest, along)
-        return codes[:, ::2] | codes[:, 1::2] << 4, cell.astype(np.int32), size.astype(np.float32)
+        own = np.take_along_axis(self.centres[None], codes[:, :, None, None].astype(np.int64), 2).reshape(len(vectors), -1)[:, : self.dimension]
+        centre = self.cells[cell]
+        error = np.einsum("nd,nd->n", centre, (rest - own) * size[:, None]) / np.maximum(np.einsum("nd,nd->n", centre, centre), 1e-30)
+        return codes[:, ::2] | codes[:, 1::2] << 4, cell.astype(np.int32), size.astype(np.float32), error.astype(np.float32)
 
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """For every pair of subspaces and query what each byte adds: (pairs, queries, 256)."""
@@ -131,7 +134,7 @@ def _best(scores: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([above, np.flatnonzero(scores == edge)[: n - len(above)]])
 
 
-def search_tile(quantizer: AnisotropicQuantizer, ids: np.ndarray, codes: np.ndarray, cells: np.ndarray, sizes: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, top: int, shortlist: int = SHORTLIST):
+def search_tile(quantizer: AnisotropicQuantizer, ids: np.ndarray, codes: np.ndarray, cells: np.ndarray, sizes: np.ndarray, shifts: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, top: int, shortlist: int = SHORTLIST):
     """(place of the query, id, score) of each query's best in one shard, whose rows are sorted by vector and id.
 
     Equal vectors are scanned once, and stand for as many of their least ids as can be asked for.
@@ -142,14 +145,14 @@ def search_tile(quantizer: AnisotropicQuantizer, ids: np.ndarray, codes: np.ndar
     least = ids[first]
     by_id = np.argsort(least, kind="stable")  # so that of equal scores the smaller ids come first
     first, end = first[by_id], end[by_id]
-    exact, cells, sizes, columns = vectors[first], cells[first], sizes[first], np.ascontiguousarray(codes[first].T)
+    exact, cells, sizes, shifts, columns = vectors[first], cells[first], sizes[first], 1 + shifts[first], np.ascontiguousarray(codes[first].T)
     for at in range(0, len(queries), 64):
         part = queries[at : at + 64]
         near = np.zeros((len(part), len(first)), np.float32)
         for t, c in zip(quantizer.tables(part.astype(np.float32)), columns, strict=True):
             near += np.take(t, c, axis=1)
         near *= sizes
-        near += (part @ quantizer.cells.T).astype(np.float32)[:, cells]
+        near += (part @ quantizer.cells.T).astype(np.float32)[:, cells] * shifts
         for i, q in enumerate(part):
             some = _best(near[i], shortlist)
             s = exact[some] @ q
@@ -166,7 +169,7 @@ def search_tile(quantizer: AnisotropicQuantizer, ids: np.ndarray, codes: np.ndar
     return np.concatenate(where), np.concatenate(found), np.concatenate(scores)
 
 
-INDEX = struct(vec_id=T.LongType(), codes=T.BinaryType(), cell=T.IntegerType(), size=T.FloatType(), vector=T.BinaryType())
+INDEX = struct(vec_id=T.LongType(), codes=T.BinaryType(), cell=T.IntegerType(), size=T.FloatType(), shift=T.FloatType(), vector=T.BinaryType())
 
 
 def _matrix(column, dtype) -> np.ndarray:
@@ -191,8 +194,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 20, key: str = "v
     def encode(batches):
         for batch in batches:
             v = batch.column("v").flatten().to_numpy().reshape(-1, dimension)
-            codes, cells, sizes = quantizer.encode(v)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(cells), pa.array(sizes), pa.array([x.tobytes() for x in v], pa.binary())], names=INDEX.names)
+            codes, cells, sizes, shifts = quantizer.encode(v)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(cells), pa.array(sizes), pa.array(shifts), pa.array([x.tobytes() for x in v], pa.binary())], names=INDEX.names)
 
     index = written(own.where(F.size("v") == dimension).mapInArrow(encode, INDEX), "vectors")
     asked = clean(queries).where(F.size("v") == dimension).distinct()
@@ -206,11 +209,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 20, key: str = "v
     def tile(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return pa.table({f.name: pa.array([], pa.float64() if f.name == "score" else pa.int64()) for f in found})
-        rows = sorted(set(zip(a["vector"].to_pylist(), a["vec_id"].to_pylist(), a["codes"].to_pylist(), a["cell"].to_pylist(), a["size"].to_pylist(), strict=True)))
-        vec, ids, codes, cells, sizes = zip(*rows, strict=True)
+        rows = sorted(set(zip(a["vector"].to_pylist(), a["vec_id"].to_pylist(), a["codes"].to_pylist(), a["cell"].to_pylist(), a["size"].to_pylist(), a["shift"].to_pylist(), strict=True)))
+        vec, ids, codes, cells, sizes, shifts = zip(*rows, strict=True)
         asked_ids, hashes = b["query_id"].to_numpy(), b["query_hash"].to_numpy()
         q = b["query"].combine_chunks().flatten().to_numpy().reshape(b.num_rows, -1)
-        where, hit, s = search_tile(quantizer, np.array(ids), _matrix(pa.array(codes), np.uint8), np.array(cells), np.array(sizes, np.float32), _matrix(pa.array(vec), np.float64), asked_ids, q, top)
+        where, hit, s = search_tile(quantizer, np.array(ids), _matrix(pa.array(codes), np.uint8), np.array(cells), np.array(sizes, np.float32), np.array(shifts, np.float32), _matrix(pa.array(vec), np.float64), asked_ids, q, top)
         return pa.table({"query_id": pa.array(asked_ids[where]), "query_hash": pa.array(hashes[where]), "vec_id": pa.array(hit), "score": pa.array(s)})
 
     right = right.withColumn("query_hash", F.xxhash64("query"))

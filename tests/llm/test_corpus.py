@@ -174,9 +174,9 @@ def test_nearest_finds_in_a_dense_cluster():
     x /= np.linalg.norm(x, axis=1)[:, None]
     q = vectors.AnisotropicQuantizer(32).fit(x)
     order = np.lexsort(x.T[::-1])
-    codes, cells, sizes = q.encode(x[order])
+    codes, cells, sizes, shifts = q.encode(x[order])
     asked = np.arange(0, 4500, 50)
-    where, found, _ = vectors.search_tile(q, order, codes, cells, sizes, x[order], asked, x[asked], 20)
+    where, found, _ = vectors.search_tile(q, order, codes, cells, sizes, shifts, x[order], asked, x[asked], 20)
     recall = [len(set(found[where == k]) & set(np.argsort(-np.where(np.arange(4500) == a, -9, x @ x[a]))[:20])) / 20 for k, a in enumerate(asked)]
     assert np.mean(recall) >= 0.9, np.mean(recall)
 
