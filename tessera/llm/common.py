@@ -56,6 +56,13 @@ def release(spark: SparkSession, paths: list[str]) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def hash_sample(df: DataFrame, rows: int, size: int, *keys: str) -> DataFrame:
+    """About `size` of the `rows` rows of `df`, and never more than twice as many: those whose keys hash low. Nothing is sorted."""
+    wide = 1 << 40
+    low = F.pmod(F.xxhash64(F.lit("sample"), *keys), F.lit(wide)) < F.lit(min(wide, -(-wide * size // max(1, rows))))
+    return df.where(low).limit(2 * size)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like the given ones that no column of `df` has, in any case."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -3,8 +3,8 @@
 Texts are cut into chunks of bounded size. A pass writes each chunk's distinct words as hashes with their training counts, dealt out
 in blobs by hash, and its texts as compressed numbers of those words; so a word goes through the shuffle once a chunk, not
 once an occurrence. Buckets of hashes add up the counts of all chunks and hand each chunk its own words' totals back. The model's
-outcomes are the commonest words of the whole corpus; it is trained on `TRAIN_TEXTS` texts of the least hashes, whose number is
-the bound: in each round every shard makes a pass of mini-batch gradient steps and the driver averages what they changed. Tables
+outcomes are the commonest words of the whole corpus; it is trained on about `TRAIN_TEXTS` texts that hash low, twice as many
+at most: in each round every shard makes a pass of mini-batch gradient steps and the driver averages what they changed. Tables
 have fixed sizes, so the model that is sent out does not grow.
 
 Defined results: a null text is empty and scores its end alone; a null id counts as the empty string for the folds; rows are
@@ -27,12 +27,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import struct, table, whole_groups, written
+from .common import hash_sample, struct, table, whole_groups, written
 from .maxent import Model, Shape
 
 SHAPE = Shape()
 TRAIN_TEXTS = 4000
-SHARDS = 8
+SHARDS = 4
 ROUNDS = 3
 RATE = 0.3
 #: Bytes of text in a chunk.
@@ -198,7 +198,8 @@ def _train(texts: DataFrame, model: Model, outcome: dict[int, int]) -> Model:
                     total[at] += np.frombuffer(c.change, np.float16).reshape(len(at), -1)
                     times[at] += 1
             weights += total / np.maximum(times, 1)[:, None]
-        sent.unpersist()
+        sent.destroy()
+        del changes
     return model
 
 
@@ -217,8 +218,9 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     outcome = {r.hash: i + 1 for i, r in enumerate(top)}
     common = np.array([r.n for r in top], np.int64)
     model = Model(SHAPE, common, float(n - common.sum()))
-    chosen = own.where(~F.col("held_out")).orderBy(F.xxhash64("doc_id", "text")).limit(TRAIN_TEXTS)
     if outcome:
+        training = parts.where("kind = 2 and not held_out").count()
+        chosen = hash_sample(own.where(~F.col("held_out")), training, TRAIN_TEXTS, "doc_id", "text")
         model = _train(chosen.select(F.pmod(F.xxhash64("text"), F.lit(SHARDS)).cast("int").alias("shard"), "text"), model, outcome)
     sent = spark.sparkContext.broadcast((model, outcome))
     # all that is not an outcome, an unseen word as well, shares the rare probability by its count

@@ -5,8 +5,8 @@ and centres minimise a loss in which the error along the vector weighs more than
 large inner products; the error that is left along the cell's centre, which all vectors of a cell share, is kept as a number. A query's tables, two four-bit codes to a byte, are summed over the codes of a shard; the best of every
 shard are reranked with the original vectors in double precision.
 
-Queries and vectors meet in tiles of bounded size, all queries against all vectors. The quantiser is fitted on `SAMPLE` vectors of the
-least hashes; every vector is indexed.
+Queries and vectors meet in tiles of bounded size, all queries against all vectors. The quantiser is fitted on about
+`SAMPLE` vectors that hash low, twice as many at most; every vector is indexed.
 
 Defined results: rows with a null id, and vectors that are null, zero, not of the sample's commonest length or hold null or
 non-finite components, take no part; a query's own id is no candidate; rows of one id and vector count once; ties go to the
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import struct, table, written
+from .common import hash_sample, struct, table, written
 
 SAMPLE = 8192
 #: Inner products above this share of the norm matter; it fixes the weight of the parallel residual.
@@ -186,7 +186,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 20, key: str = "v
         return df.select(F.col(f"`{key}`").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & sound)
 
     own = clean(vectors)
-    sample = [r.v for r in own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()]
+    sample = [r.v for r in hash_sample(own, own.count(), SAMPLE, "vec_id", "v").select("v").collect()]
     dimension = Counter(map(len, sample)).most_common(1)[0][0] if sample else 1
     fitted = np.array([v for v in sample if len(v) == dimension] or [[1.0]])
     quantizer = AnisotropicQuantizer(dimension).fit(fitted)
