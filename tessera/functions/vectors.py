@@ -60,5 +60,4 @@ def base64_floats(v: Column) -> Column:
     def run(column):
         return pa.array([None if x is None else np.asarray(x, "<f4").tobytes() for x in column.to_pylist()], pa.binary())
 
-    # unlike base64(), which breaks lines, to_char does not
-    return F.to_char(F.arrow_udf(run, "binary")(v), F.lit("base64"))
+    return F.translate(F.base64(F.arrow_udf(run, "binary")(v)), "\r\n", "")
