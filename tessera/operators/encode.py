@@ -107,6 +107,47 @@ class OnnxEncoder:
         return (out * mask[:, :, None]).sum(1) / mask.sum(1, keepdims=True)
 
 
+class OnnxReranker:
+    """A model file whose logits, one a pair, are scores before activation; `types` tell query from document."""
+
+    def __init__(self, path: str):
+        import onnxruntime
+
+        options = onnxruntime.SessionOptions()
+        options.intra_op_num_threads = 1
+        self.session = onnxruntime.InferenceSession(path, options, providers=["CPUExecutionProvider"])
+        outputs = {o.name: o.shape for o in self.session.get_outputs()}
+        self.output = "logits" if "logits" in outputs else next((n for n, s in outputs.items() if len(s) == 2), None)
+        if self.output is None or outputs[self.output][-1] != 1:
+            raise ValueError(f"no output of one logit a pair among {outputs}")
+        self.types = any(i.name == "token_type_ids" for i in self.session.get_inputs())
+
+    def encode_batch(self, ids: np.ndarray, mask: np.ndarray, types: np.ndarray | None = None) -> np.ndarray:
+        feed = {"input_ids": ids, "attention_mask": mask}
+        if self.types:
+            feed["token_type_ids"] = np.zeros_like(ids) if types is None else types
+        return self.session.run([self.output], feed)[0].astype(np.float32)
+
+
+def pass_metrics(rows: DataFrame, limits: Limits, index: str = "idx", ids: str = "ids") -> DataFrame:
+    """(partition, batch, rows, tokens, padding) of the batches that `encode_sequences` makes of the same rows; packed models have no padding."""
+    n = rows.select(index, F.size(ids).alias("n")).sortWithinPartitions("n", index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, seen = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            lengths = batch.column("n").to_pylist()
+            plan = cut(lengths, limits)
+            own = [[x for x, p in zip(lengths, plan, strict=True) if p == b] for b in range(plan[-1] + 1 if plan else 0)]
+            columns = [[part] * len(own), range(seen, seen + len(own)), [len(x) for x in own], [sum(x) for x in own], [0 if limits.packed else len(x) * max(x) - sum(x) for x in own]]
+            seen += len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["partition", "batch", "rows", "tokens", "padding"])
+
+    return n.mapInArrow(run, "partition long, batch long, rows long, tokens long, padding long")
+
+
 def embed(df: DataFrame, text: str, vector: str = "vector") -> DataFrame:
     """With the lexical stand-in; lazy, like any DataFrame."""
     return df.withColumn(vector, stand_in_vector(F.col(text)))
@@ -116,4 +157,4 @@ def rerank(df: DataFrame, query: str, document: str, score: str = "score") -> Da
     return df.withColumn(score, stand_in_score(F.col(query), F.col(document)))
 
 
-__all__ = ["Encoder", "OnnxEncoder", "embed", "encode_sequences", "rerank", "row"]
+__all__ = ["Encoder", "OnnxEncoder", "OnnxReranker", "embed", "encode_sequences", "pass_metrics", "rerank", "row"]

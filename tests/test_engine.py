@@ -164,6 +164,13 @@ def test_encoding_does_not_depend_on_batches(spark):
         assert got[200].vector is None and "no" in got[201].error and sum(r.error is not None for r in got.values()) <= 2 + limits.max_rows
 
 
+def test_pass_metrics(spark):
+    df = spark.createDataFrame([(i, [1] * n) for i, n in enumerate([100, 100, 40, 10])], "idx int, ids array<bigint>").coalesce(1)
+    one = encode.pass_metrics(df, planner.Limits(64, 400, 1)).first()
+    assert (one.rows, one.tokens, one.padding) == (4, 250, 150)
+    assert encode.pass_metrics(df, planner.Limits(64, 400, 1, True)).first().padding == 0
+
+
 def test_responses(spark):
     df = spark.createDataFrame([("r", 1, True, [[2.0, 1.0]], ["ab"], 2), ("s", 1, False, [[2.0]], ["a"], 1), ("t", 2, False, [[2.0]], ["a"], 1)], "id string, v int, by boolean, x array<array<float>>, t array<string>, n int")
     one, two, three = (json.loads(r[0]) for r in df.select(respond.embed_body(*(F.col(c) for c in ("id", "v", "by", "x", "t", "n")))).collect())
