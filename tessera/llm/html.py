@@ -295,13 +295,15 @@ def generated(seed: int) -> tuple[str, set[str]]:
         boiler = pick((0.0, 0.0, 0.2, 0.5))
         # any length, so that markup decides more than size
         parts = [words(int(rng.integers(1, pick((5, 12, 40)))), boiler) for _ in range(n)]
-        kind = int(rng.integers(5))
+        kind = int(rng.integers(6))
         if kind == 0:
             inner = "<ul>" + "".join(f'<li><a href="/{i}">{p}</a></li>' for i, p in enumerate(parts)) + "</ul>"
         elif kind == 1:
             inner = "".join(f"<p>{p}</p>" for p in parts)
         elif kind == 2:
             inner = parts[0]
+        elif kind == 5:
+            inner = f"<h1>{parts[0]}</h1>" + "".join(f"<p>{p}</p>" for p in parts[1:])
         elif kind == 3:
             inner = f"<h3>{parts[0]}</h3>" + "".join(f"<div>{p}</div>" for p in parts[1:])
         else:
