@@ -4,7 +4,8 @@ Fingerprints are grouped first, so copies count once. Distances to reference fin
 all pairs that does not fall with their number, so pairs are looked for inside bands: of six blocks of a fingerprint two at
 least are free of up to four differing bits (of ten blocks, three of up to seven), and their bits make a key. Inside a key's group the
 pivot table, computed once for all fingerprints at hand, discards every pair with a coordinate difference over the limit
-(the triangle inequality makes this exact); what survives is verified. A large group is searched breadth first against what is
+(the triangle inequality makes this exact); what survives is verified. Fingerprints of several words, which tell similar from alike far more sharply, allow more
+differing bits; their keys are drawn from all digits. A large group is searched breadth first against what is
 not reached yet, so that a dense group of near copies costs no pairs of its own. Groups report trees, not pairs; their
 components are joined by star contraction.
 
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, keep_only, table, texts, written
+from .common import fresh, keep_only, table, texts, whole_groups, written
 from .graphs import components
 
 SHINGLE = 4
@@ -34,12 +35,23 @@ PIVOTS = np.array([xxhash.xxh64_intdigest(f"pivot {i}".encode(), seed=SEED) for
 #: Groups up to this size compare their pairs at once; larger ones are searched breadth first.
 SMALL = 64
 FRONT = 128
+#: Keys of a fingerprint of several words.
+KEYS = 120
 
 
-def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    """Other 64 bits made of each hash."""
+    x = hashes * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED, size: int = 1) -> list[int]:
+    """`size` words of 64 bits; the first is of the shingles' hashes, the others of what is mixed from them."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return [0] * size
     joined = b" ".join(words)
     if len(words) <= shingle:
         hashes = [xxhash.xxh64_intdigest(joined, seed)]
@@ -51,26 +63,41 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
         starts = [0] + [e + 1 for e in ends[:-shingle]]
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[s:e], seed) for s, e in zip(starts, ends[shingle - 1 :], strict=True)]
-    bits = np.zeros(64, np.int64)
+    bits = np.zeros((size, 64), np.int64)
     for at in range(0, len(hashes), 8192):
         part = np.array(hashes[at : at + 8192], np.uint64)
-        bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int(np.packbits(2 * bits > len(hashes), bitorder="little").view(np.uint64)[0])
+        for k in range(size):
+            bits[k] += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+            if k + 1 < size:
+                part = _mixed(part)
+    return np.packbits(2 * bits > len(hashes), axis=1, bitorder="little").view(np.uint64).ravel().tolist()
 
 
 def simhash(text: Column, shingle: int = SHINGLE) -> Column:
     """The fingerprint as a signed long."""
+    return simhashes(text, shingle, 1)[0]
+
+
+def simhashes(text: Column, shingle: int, size: int) -> Column:
+    """The words of a fingerprint as an array of signed longs."""
 
     def run(column: pa.Array) -> pa.Array:
         keep_only()
-        return pa.array(np.array([fingerprint(t, shingle) for t in texts(column)], np.uint64).view(np.int64))
+        prints = np.array([fingerprint(t, shingle, size=size) for t in texts(column)], np.uint64).reshape(-1).view(np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(column) + 1, dtype=np.int32) * size), pa.array(prints))
 
-    return F.arrow_udf(run, T.LongType()).asNondeterministic()(text)
+    return F.arrow_udf(run, T.ArrayType(T.LongType())).asNondeterministic()(text)
+
+
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits, over all words of the last axis."""
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int16)
 
 
 def pivot_table(prints: np.ndarray) -> np.ndarray:
-    """Hamming distances of each fingerprint to every pivot."""
-    return np.bitwise_count(prints[:, None] ^ PIVOTS[None, :]).astype(np.int8)
+    """Hamming distances of each fingerprint to every pivot; a pivot is as many words as a fingerprint, one after another of the list."""
+    pivots = np.stack([np.roll(PIVOTS, -k) for k in range(prints.shape[1])], 1)
+    return distance(prints[:, None], pivots[None]).astype(np.int16)
 
 
 def _search(prints: np.ndarray, table: np.ndarray, limit: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -85,7 +112,7 @@ def _search(prints: np.ndarray, table: np.ndarray, limit: int) -> list[tuple[np.
         found, whom = [], []
         for at in range(0, len(near), 1 << 14):
             part = near[at : at + (1 << 14)]
-            close = np.bitwise_count(prints[front][:, None] ^ prints[among[part]][None, :]) <= limit
+            close = distance(prints[front][:, None], prints[among[part]][None]) <= limit
             any_ = close.any(0)
             found.append(part[any_])
             whom.append(front[close[:, any_].argmax(0)])
@@ -94,7 +121,7 @@ def _search(prints: np.ndarray, table: np.ndarray, limit: int) -> list[tuple[np.
     while len(rest):
         front, rest = rest[:FRONT], rest[FRONT:]
         found, _ = hits(front, rest)
-        inner = np.bitwise_count(prints[front][:, None] ^ prints[front][None, :]) <= limit
+        inner = distance(prints[front][:, None], prints[front][None]) <= limit
         if not len(found) and inner.sum() == len(front):
             continue  # nobody here links to anything left
         queue, rest = front[:1], np.concatenate([front[1:], rest])
@@ -110,7 +137,7 @@ def _search(prints: np.ndarray, table: np.ndarray, limit: int) -> list[tuple[np.
 
 
 def linked(keys: np.ndarray, prints: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside groups of equal keys, enough to join each group's components. Rows are sorted by key."""
+    """Places of links inside groups of equal keys, enough to join each group's components. Rows (of one or more words) are sorted by key."""
     table = pivot_table(prints)
     edge = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     size = np.diff(np.append(edge, len(keys)))
@@ -119,7 +146,7 @@ def linked(keys: np.ndarray, prints: np.ndarray, limit: int = LIMIT) -> tuple[np
     def verify(i: np.ndarray, j: np.ndarray) -> None:
         near = np.abs(table[i] - table[j]).max(1, initial=0) <= limit
         i, j = i[near], j[near]
-        close = np.bitwise_count(prints[i] ^ prints[j]) <= limit
+        close = distance(prints[i], prints[j]) <= limit
         left.append(i[close])
         right.append(j[close])
 
@@ -134,7 +161,7 @@ def linked(keys: np.ndarray, prints: np.ndarray, limit: int = LIMIT) -> tuple[np
         for a, b in _search(prints[s : s + n], table[s : s + n], limit):
             left.append(a + s)
             right.append(b + s)
-    return prints[np.concatenate(left or [np.empty(0, np.int64)])], prints[np.concatenate(right or [np.empty(0, np.int64)])]
+    return np.concatenate(left or [np.empty(0, np.int64)]), np.concatenate(right or [np.empty(0, np.int64)])
 
 
 def _keys(fp: Column, limit: int) -> Column:
@@ -155,63 +182,77 @@ def _keys(fp: Column, limit: int) -> Column:
     return F.array(*keys)
 
 
-def near_links(prints: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(a, b): links between distinct fingerprints of the column `fp`, enough to join every component."""
+def _sampled_keys(words: Column, size: int) -> Column:
+    """KEYS keys of five hexadecimal digits each, which digits being fixed by a seeded rule; the low bits say which key it is."""
+    rng = np.random.default_rng(SEED)
+    keys = []
+    for k in range(KEYS):
+        key = None
+        for digit in sorted(rng.choice(16 * size, 5, replace=False).tolist()):
+            own = F.shiftrightunsigned(F.get(words, F.lit(digit // 16)), 4 * (digit % 16)).bitwiseAND(F.lit(15))
+            key = own if key is None else F.shiftleft(key, 4).bitwiseOR(own)
+        keys.append(F.shiftleft(key, 7).bitwiseOR(F.lit(k).cast("long")))
+    return F.array(*keys)
+
+
+def near_links(prints: DataFrame, limit: int = LIMIT, size: int = 1) -> DataFrame:
+    """(a, b): links between distinct fingerprints (`node`, `words`), enough to join every component.
 
-    def search(batches):
-        kept: list[pa.RecordBatch] = []
+    Of one word all links are found. Of more words the keys are digits drawn from all of them, and a link is found with a
+    probability that the differing bits decide: 0.99 at 15 in a hundred, more below.
+    """
 
-        def results(rows: pa.Table):
-            a, b = linked(rows["key"].to_numpy(), rows["fp"].to_numpy().view(np.uint64), limit)
+    def search(batches):
+        for rows in whole_groups(batches, "key"):
+            prints = rows["words"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, size)
+            a, b = linked(rows["key"].to_numpy(), prints, limit)
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
-
-        for batch in batches:  # sorted by key: the last group may go on in the next batch
-            kept.append(batch)
-            rows = pa.Table.from_batches(kept)
-            keys = rows["key"].to_numpy()
-            last = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-            if last:
-                yield from results(rows.slice(0, last))
-                kept = rows.slice(last).to_batches()
-        if kept:
-            yield from results(pa.Table.from_batches(kept))
-
-    keyed = prints.select("fp", F.explode(_keys(F.col("fp"), limit)).alias("key"))
-    sorted_ = keyed.repartition("key").sortWithinPartitions("key", "fp")
+                node = rows["node"].to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+
+    keys = _keys(F.get("words", F.lit(0)), limit) if size == 1 else _sampled_keys(F.col("words"), size)
+    keyed = prints.select("node", "words", F.explode(keys).alias("key"))
+    sorted_ = keyed.repartition("key").sortWithinPartitions("key", "node")
     return sorted_.mapInArrow(search, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, limit: int = LIMIT) -> DataFrame:
-    """(key, fp, component_id) for each row of `docs`."""
-    own = written(docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), simhash(F.col(f"`{text}`"), shingle).alias("fp")), "simhash")
-    return own.join(_labels(own, limit).select("fp", "component_id"), "fp").select(F.col("doc_id").alias(key), "fp", "component_id")
+def _node(words: Column, size: int) -> Column:
+    """One long that stands for a fingerprint."""
+    return F.get(words, F.lit(0)) if size == 1 else F.xxhash64(words)
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, limit: int = LIMIT, size: int = 1) -> DataFrame:
+    """(key, words, component_id) for each row of `docs`; `words` are the fingerprint's."""
+    own = written(docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), simhashes(F.col(f"`{text}`"), shingle, size).alias("words")), "simhash")
+    labels = _labels(own, limit, size).select("node", "component_id")
+    return own.withColumn("node", _node(F.col("words"), size)).join(labels, "node").select(F.col("doc_id").alias(key), "words", "component_id")
 
 
-def _labels(own: DataFrame, limit: int) -> DataFrame:
-    """(fp, least, root, component_id) for each fingerprint of `own` (doc_id, fp)."""
-    classes = written(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
-    roots = components(near_links(classes.select("fp"), limit), "simhash-links")
-    with_root = classes.join(roots.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+def _labels(own: DataFrame, limit: int, size: int) -> DataFrame:
+    """(node, least, root, component_id) for each fingerprint of `own` (doc_id, words)."""
+    classes = written(own.groupBy("words").agg(F.min("doc_id").alias("least")).select(_node(F.col("words"), size).alias("node"), "words", "least"), "simhash-classes")
+    roots = components(near_links(classes.select("node", "words"), limit, size), "simhash-links")
+    with_root = classes.join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = with_root.groupBy("root").agg(F.min("least").alias("component_id"))
-    return with_root.join(least, "root").select("fp", "least", "root", "component_id")
+    return with_root.join(least, "root").select("node", "least", "root", "component_id")
 
 
-def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, limit: int = LIMIT) -> DataFrame:
+def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, limit: int = LIMIT, size: int = 1) -> DataFrame:
     """The rows of `docs` that stay when of each component only the row of the least id does (of equal rows, one)."""
-    fp, least_, stay_ = fresh(docs, "fp", "least", "stay")
-    marked = docs.withColumn(fp, simhash(F.col(f"`{text}`"), shingle))
-    own = written(marked.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(fp).alias("fp")), "simhash")
-    labels = _labels(own, limit)
+    node, least_, stay_ = fresh(docs, "node", "least", "stay")
+    marked = docs.withColumn(node, simhashes(F.col(f"`{text}`"), shingle, size))
+    own = written(marked.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(node).alias("words")), "simhash")
+    labels = _labels(own, limit, size)
     # the component's row of least id; where several fingerprints have that id, the least of them
-    stay = labels.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("x")).select(F.col("x.least").alias(least_), F.col("x.fp").alias(stay_))
-    kept = marked.join(stay, (F.col(fp) == F.col(stay_)) & F.col(f"`{key}`").cast("long").eqNullSafe(F.col(least_)), "left_semi")
-    return kept.dropDuplicates([fp, key]).drop(fp)
+    stay = labels.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node")).alias("x")).select(F.col("x.least").alias(least_), F.col("x.node").alias(stay_))
+    marked = marked.withColumn(node, _node(F.col(node), size))
+    kept = marked.join(stay, (F.col(node) == F.col(stay_)) & F.col(f"`{key}`").cast("long").eqNullSafe(F.col(least_)), "left_semi")
+    return kept.dropDuplicates([node, key]).drop(node)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lpad(F.lower(F.hex(F.get("words", F.lit(0)))), 16, "0").alias("fingerprint"), "component_id")
 
 
 QUERIES = {"op4_simhash": op4_simhash}
