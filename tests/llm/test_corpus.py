@@ -91,9 +91,9 @@ def test_similar_texts_are_linked(spark):
     random.seed(7)
     word = lambda: "".join(random.choice("abcdefghijklmnopq") for _ in range(random.randint(2, 8)))
     docs, want = [], {}
-    for i in range(60):  # an original, a copy with one word in sixty changed, and a text of the same words in another order
+    for i in range(60):  # an original, a copy with one word in 120 changed, and a text of the same words in another order
         own = [word() for _ in range(240)]
-        near = [word() if k % 60 == 30 else w for k, w in enumerate(own)]
+        near = [word() if k % 120 == 60 else w for k, w in enumerate(own)]
         docs += [(3 * i, " ".join(own)), (3 * i + 1, " ".join(near)), (3 * i + 2, " ".join(random.sample(own, len(own))))]
         want |= {3 * i: 3 * i, 3 * i + 1: 3 * i, 3 * i + 2: 3 * i + 2}
     got = simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), shingle=5, limit=19, size=2).collect()
