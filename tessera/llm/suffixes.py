@@ -170,9 +170,10 @@ def _resolve(length: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, probe: int = PROBE) -> DataFrame:
-    """(doc_id, text_hash, spans) for those of `docs` (doc_id, text, text_hash) that have repeats: sorted arrays of [start, end) bytes, which may overlap."""
-    found = written(docs.mapInArrow(_anchor_rows(length, probe), ANCHOR), "anchors")
+def repeated_spans(docs: DataFrame, key: str, text: str, hash_: str, length: int = LENGTH, probe: int = PROBE) -> DataFrame:
+    """(doc_id, text_hash, spans) for those of `docs` that have repeats: sorted arrays of [start, end) bytes, which may overlap."""
+    own = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), F.col(hash_).alias("text_hash"))
+    found = written(own.mapInArrow(_anchor_rows(length, probe), ANCHOR), "anchors")
     with_n = T.StructType([*ANCHOR.fields, T.StructField("n", T.LongType())])
     counted = found.mapInArrow(_combine, with_n).repartition("probe").sortWithinPartitions("probe", "cover")
     live = written(counted.mapInArrow(_live, LIVE), "anchors-live")
@@ -184,9 +185,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, probe: int = PROBE) ->
     low = F.greatest("first", "block")
     high = F.when(F.col("covers") > SHARED, F.least(F.col("last"), F.col("block") + (OFFSETS - 1))).otherwise(F.col("last"))
     edges = edges.select("doc_id", "text_hash", "probe", "cover", low.alias("low"), (low - F.col("first")).alias("from"), (high - low + length).alias("size"), F.when(F.col("covers") > SHARED, F.col("block") - F.col("place")).otherwise(F.lit(0)).alias("offset"))
-    d = docs.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "text")
-    cut = edges.join(d, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).select(
-        F.xxhash64("probe", "offset").alias("shard"), "probe", "cover", "from", F.substring(F.encode("text", "UTF-8"), F.col("low") + 1, F.col("size")).alias("context")
+    # the same rows, columns and keys as in the last join, which then needs no shuffle of the texts of its own
+    same = docs[key].cast("long").eqNullSafe(edges["doc_id"]) & (docs[hash_] == edges["text_hash"])
+    whole_text = F.encode(F.coalesce(docs[text], F.lit("")), "UTF-8")
+    cut = docs.join(edges, same).select(
+        F.xxhash64("probe", "offset").alias("shard"), "probe", "cover", "from", F.substring(whole_text, F.col("low") + 1, F.col("size")).alias("context")
     )
     parts = cut.repartition("shard").sortWithinPartitions("shard").mapInArrow(_resolve(length), "probe long, cover long, parts array<int>")
     # pairs of bounds, of windows, from the first window on
@@ -239,10 +242,9 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", out:
 
     With `characters`, runs leave out what they hold of a character in part, and `kept` is a string.
     """
-    own = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    own = own.withColumn("text_hash", F.xxhash64("text"))
-    id_, hash_, spans_ = fresh(docs, "id", "hash", "spans")
-    spans = repeated_spans(own, length, probe).select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.col("spans").alias(spans_))
+    id_, hash_, of_, spans_ = fresh(docs, "id", "hash", "of_hash", "spans")
+    docs = docs.withColumn(hash_, F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+    spans = repeated_spans(docs, key, text, hash_, length, probe).select(F.col("doc_id").alias(id_), F.col("text_hash").alias(of_), F.col("spans").alias(spans_))
     run_type = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
     kept_type = pa.string() if characters else pa.binary()
 
@@ -255,10 +257,10 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", out:
             rows.append({"n_bytes": len(data), "n_removed": sum(e - s for s, e in runs), "runs": [{"s": s, "e": e} for s, e in runs], "kept": cut(data, runs)})
         return pa.array(rows, pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("runs", run_type), ("kept", kept_type)]))
 
-    same = F.col(f"`{key}`").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))) == F.col(hash_))
+    same = F.col(f"`{key}`").cast("long").eqNullSafe(F.col(id_)) & (F.col(hash_) == F.col(of_))
     joined = docs.join(spans, same, "left")
     kind = _removed(T.StringType() if characters else T.BinaryType())
-    return put(joined, out, F.arrow_udf(remove, kind).asNondeterministic()(F.col(f"`{text}`"), F.col(spans_))).drop(id_, hash_, spans_)
+    return put(joined, out, F.arrow_udf(remove, kind).asNondeterministic()(F.col(f"`{text}`"), F.col(spans_))).drop(id_, hash_, of_, spans_)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
