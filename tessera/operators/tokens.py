@@ -56,19 +56,20 @@ def windows(ids: Column, limit: int, lead: int = LEAD, trail: int = TRAIL) -> Co
         return F.when(far >= end, end).otherwise(F.coalesce(start_of_word, far))
 
     state = F.struct(F.lit(lead).alias("at"), F.array().cast("array<struct<from:int,to:int,length:int,wrap:boolean,weight:int>>").alias("out"))
-    # a window holds one token at least, and more than half the room wherever words are shorter than that
-    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), n))
-    split = F.aggregate(
-        steps,
-        state,
-        lambda acc, _: F.when(acc["at"] >= end, acc).otherwise(
-            F.struct(
-                stop(acc["at"]).cast("int").alias("at"),
-                F.array_append(acc["out"], span(acc["at"], stop(acc["at"]), stop(acc["at"]) - acc["at"] + (lead + trail), F.lit(True), stop(acc["at"]) - acc["at"])).alias("out"),
-            )
-        ),
-        lambda acc: acc["out"],
-    )
+    # two windows in a row are longer than the room: the first ends where the next word would not have fitted
+    steps = F.sequence(F.lit(1), 2 * F.ceil(n / room).cast("int") + 2)
+
+    def step(acc: Column) -> Column:
+        # one evaluation of the stop for all of its uses
+        return F.get(
+            F.transform(
+                F.array(stop(acc["at"]).cast("int")),
+                lambda b: F.struct(b.alias("at"), F.array_append(acc["out"], span(acc["at"], b, b - acc["at"] + (lead + trail), F.lit(True), b - acc["at"])).alias("out")),
+            ),
+            F.lit(0),
+        )
+
+    split = F.aggregate(steps, state, lambda acc, _: F.when(acc["at"] >= end, acc).otherwise(step(acc)), lambda acc: acc["out"])
     return F.when(n <= limit, whole).otherwise(split)
 
 
