@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -43,10 +45,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if not scratch:
+        atexit.register(_tidy)
     scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _tidy() -> None:
+    """What this process has written goes when it ends, if its session still can."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        with contextlib.suppress(Exception):
+            release(spark, scratch)
+
+
 def release(spark: SparkSession, paths: list[str]) -> None:
     """Deletes folders that `written` made; only call it when no result that reads them is still to be run."""
     jvm = spark.sparkContext._jvm

@@ -163,8 +163,25 @@ def quality_rules(docs: DataFrame, text: str = "text", out: str = "quality", rul
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "quality")
-    return judged.select("doc_id", *[f"quality.{k}" for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "longest_repeat", "covered")])
+    return judged.select("doc_id", *[f"quality.{k}" for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered")])
 
 
 QUERIES = {"op1_quality": op1_quality}
-ORACLE_SQL: dict[str, str] = {}
+# a repeat is longer than 100 words where a window of 101 words occurs twice
+ORACLE_SQL = {
+    "op1_quality": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS l FROM d),
+w AS (SELECT r, unnest(l) AS w, generate_subscripts(l, 1) AS i, len(l) AS n, l FROM l),
+g AS (SELECT r, i, w, array_to_string(l[i:i + 4], ' ') AS g FROM w WHERE i <= n - 4),
+twice AS (SELECT r, g FROM g GROUP BY r, g HAVING count(*) > 1),
+inside AS (SELECT DISTINCT r, i + k AS i FROM g JOIN twice USING (r, g), range(5) t(k)),
+long AS (SELECT DISTINCT r FROM (SELECT r, md5(array_to_string(l[i:i + 100], ' ')) AS h FROM w WHERE i <= n - 100) GROUP BY r, h HAVING count(*) > 1),
+words AS (SELECT r, count(*) AS n_words, sum(length(w)) AS word_chars, sum(strlen(w)) AS bytes, count(inside.i) AS n_repeat_words, sum(CASE WHEN inside.i IS NOT NULL THEN strlen(w) ELSE 0 END) AS repeated FROM w LEFT JOIN inside USING (r, i) GROUP BY r),
+lines AS (SELECT r, count(*) - count(DISTINCT x) AS n_dup_lines FROM (SELECT r, unnest(string_split(text, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY r),
+a AS (SELECT doc_id, r, coalesce(n_words, 0) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, CAST(coalesce(repeated, 0) AS DOUBLE) / greatest(1, coalesce(bytes, 0)) AS covered
+  FROM d LEFT JOIN words USING (r) LEFT JOIN lines USING (r)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND covered <= 0.25 AND r NOT IN (SELECT r FROM long) AS kept, covered FROM b"""
+}
