@@ -185,14 +185,17 @@ def _keys(fp: Column, limit: int) -> Column:
 def _sampled_keys(words: Column, size: int) -> Column:
     """KEYS keys of five hexadecimal digits each, which digits being fixed by a seeded rule; the low bits say which key it is."""
     rng = np.random.default_rng(SEED)
-    keys = []
-    for k in range(KEYS):
-        key = None
-        for digit in sorted(rng.choice(16 * size, 5, replace=False).tolist()):
-            own = F.shiftrightunsigned(F.get(words, F.lit(digit // 16)), 4 * (digit % 16)).bitwiseAND(F.lit(15))
-            key = own if key is None else F.shiftleft(key, 4).bitwiseOR(own)
-        keys.append(F.shiftleft(key, 7).bitwiseOR(F.lit(k).cast("long")))
-    return F.array(*keys)
+    digits = np.array([sorted(rng.choice(16 * size, 5, replace=False).tolist()) for _ in range(KEYS)])
+
+    def run(column: pa.Array) -> pa.Array:
+        own = column.flatten().to_numpy().view(np.uint64).reshape(len(column), size)
+        keys = np.zeros((len(own), KEYS), np.uint64)
+        for d in digits.T:
+            keys = keys << np.uint64(4) | own[:, d // 16] >> (4 * (d % 16)).astype(np.uint64) & np.uint64(15)
+        keys = keys << np.uint64(7) | np.arange(KEYS, dtype=np.uint64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * KEYS), pa.array(keys.ravel().view(np.int64)))
+
+    return F.arrow_udf(run, T.ArrayType(T.LongType()))(words)
 
 
 def near_links(prints: DataFrame, limit: int = LIMIT, size: int = 1) -> DataFrame:
