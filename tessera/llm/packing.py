@@ -75,7 +75,11 @@ def _encoder(path: str) -> WordEncoder:
 
 def encode_text(text: str, path: str) -> bytes:
     """Little-endian 16-bit ids, the end id last."""
-    return b"".join(map(_encoder(path).words.__getitem__, text.encode().split())) + END_ID.to_bytes(2, "little")
+    raw = text.encode()
+    # Only A-Z, for fewer different words. Marks that these are composed with, which comes before the library lower-cases, start with one of two bytes.
+    if b"\xcc" not in raw and b"\xcd" not in raw:
+        raw = raw.lower()
+    return b"".join(map(_encoder(path).words.__getitem__, raw.split())) + END_ID.to_bytes(2, "little")
 
 
 class BM25:
