@@ -37,6 +37,7 @@ SMALL = 64
 FRONT = 128
 #: Keys of a fingerprint of several words.
 KEYS = 120
+FIRST_KEYS = 12
 
 
 def _mixed(hashes: np.ndarray) -> np.ndarray:
@@ -182,43 +183,59 @@ def _keys(fp: Column, limit: int) -> Column:
     return F.array(*keys)
 
 
-def _sampled_keys(words: Column, size: int) -> Column:
-    """KEYS keys of five hexadecimal digits each, which digits being fixed by a seeded rule; the low bits say which key it is."""
+def _sampled_keys(words: Column, size: int, first: int, last: int) -> Column:
+    """Of KEYS keys of five hexadecimal digits each, which a seeded rule draws, those from `first` up to `last`; the low bits say which key it is."""
     rng = np.random.default_rng(SEED)
-    digits = np.array([sorted(rng.choice(16 * size, 5, replace=False).tolist()) for _ in range(KEYS)])
+    digits = np.array([sorted(rng.choice(16 * size, 5, replace=False).tolist()) for _ in range(KEYS)])[first:last]
+    n = len(digits)
 
     def run(column: pa.Array) -> pa.Array:
         own = column.flatten().to_numpy().view(np.uint64).reshape(len(column), size)
-        keys = np.zeros((len(own), KEYS), np.uint64)
+        keys = np.zeros((len(own), n), np.uint64)
         for d in digits.T:
             keys = keys << np.uint64(4) | own[:, d // 16] >> (4 * (d % 16)).astype(np.uint64) & np.uint64(15)
-        keys = keys << np.uint64(7) | np.arange(KEYS, dtype=np.uint64)
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * KEYS), pa.array(keys.ravel().view(np.int64)))
+        keys = keys << np.uint64(7) | np.arange(first, last, dtype=np.uint64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * n), pa.array(keys.ravel().view(np.int64)))
 
     return F.arrow_udf(run, T.ArrayType(T.LongType()))(words)
 
 
-def near_links(prints: DataFrame, limit: int = LIMIT, size: int = 1) -> DataFrame:
-    """(a, b): links between distinct fingerprints (`node`, `words`), enough to join every component.
+def near_links(prints: DataFrame, limit: int = LIMIT, size: int = 1, first: int = 0, last: int = KEYS) -> DataFrame:
+    """(a, b): links between distinct fingerprints (`node`, `words`, `root`) that are not known to be joined, enough to join every component.
 
-    Of one word all links are found. Of more words the keys are digits drawn from all of them, and a link is found with a
-    probability that the differing bits decide: 0.99 at 15 in a hundred, more below.
+    Fingerprints of one `root` are joined already. Of one word all links are found. Of more words the keys are digits drawn
+    from all of them, and a link is found with a probability that the differing bits decide: 0.99 at 15 in a hundred, more below.
     """
 
     def search(batches):
         for rows in whole_groups(batches, "key"):
             prints = rows["words"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, size)
             a, b = linked(rows["key"].to_numpy(), prints, limit)
-            if len(a):
-                node = rows["node"].to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+            node, root = rows["node"].to_numpy(), rows["root"].to_numpy()
+            new = root[a] != root[b]
+            if new.any():
+                yield pa.RecordBatch.from_arrays([pa.array(node[a[new]]), pa.array(node[b[new]])], names=["a", "b"])
 
-    keys = _keys(F.get("words", F.lit(0)), limit) if size == 1 else _sampled_keys(F.col("words"), size)
-    keyed = prints.select("node", "words", F.explode(keys).alias("key"))
+    keys = _keys(F.get("words", F.lit(0)), limit) if size == 1 else _sampled_keys(F.col("words"), size, first, last)
+    keyed = prints.select("node", "words", "root", F.explode(keys).alias("key"))
     sorted_ = keyed.repartition("key").sortWithinPartitions("key", "node")
     return sorted_.mapInArrow(search, "a long, b long").distinct()
 
 
+def _roots(classes: DataFrame, limit: int, size: int) -> DataFrame:
+    """(a, b) as `components` gives it.
+
+    Of wide fingerprints a few keys come first: they join what is close, so that a large group of near copies does not
+    report its links anew for each of the other keys.
+    """
+    alone = classes.withColumn("root", F.col("node"))
+    if size == 1:
+        return components(near_links(alone, limit), "simhash-links")
+    close = components(near_links(alone, limit, size, 0, FIRST_KEYS), "simhash-close")
+    joined = classes.join(close.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("node", "words", F.coalesce("root", "node").alias("root"))
+    return components(close.union(near_links(joined, limit, size, FIRST_KEYS, KEYS)), "simhash-links")
+
+
 def _node(words: Column, size: int) -> Column:
     """One long that stands for a fingerprint."""
     return F.get(words, F.lit(0)) if size == 1 else F.xxhash64(words)
@@ -234,7 +251,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 def _labels(own: DataFrame, limit: int, size: int) -> DataFrame:
     """(node, least, root, component_id) for each fingerprint of `own` (doc_id, words)."""
     classes = written(own.groupBy("words").agg(F.min("doc_id").alias("least")).select(_node(F.col("words"), size).alias("node"), "words", "least"), "simhash-classes")
-    roots = components(near_links(classes.select("node", "words"), limit, size), "simhash-links")
+    roots = _roots(classes.select("node", "words"), limit, size)
     with_root = classes.join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = with_root.groupBy("root").agg(F.min("least").alias("component_id"))
     return with_root.join(least, "root").select("node", "least", "root", "component_id")

@@ -57,7 +57,7 @@ def test_links_join_all_components(spark, limit):
             x ^= 1 << int(rng.integers(0, 64))
         points.add(x)
     p = np.array(sorted(points), np.uint64)
-    df = spark.createDataFrame([(int(x), [int(x)]) for x in p.view(np.int64)], "node long, words array<long>")
+    df = spark.createDataFrame([(int(x), [int(x)], int(x)) for x in p.view(np.int64)], "node long, words array<long>, root long")
     found = simhash.near_links(df, limit).collect()
     place = {int(x): i for i, x in enumerate(p.view(np.int64))}
     got = groups(len(p), [(place[r.a], place[r.b]) for r in found])
