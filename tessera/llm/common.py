@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import os
 import tempfile
 import uuid
@@ -18,8 +19,9 @@ from pyspark.sql import types as T
 #: The six white-space bytes that separate words, as `bytes.split()` takes them.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-#: Every folder that `written` made in this process.
+#: Every folder that `written` made in this process, and the lists of those who want to know of it.
 scratch: list[str] = []
+_watching: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("watching", default=())
 
 
 #: Bytes that go to a Python worker at once, so that long texts do not fill its memory.
@@ -33,9 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where the cluster names none, as in tests."""
+    """The cluster's shared folder. Only a local master, whose workers share the driver's machine, may do without one named."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         base = os.path.join(tempfile.gettempdir(), "tessera-checkpoints")
     return base.rstrip("/")
 
@@ -48,9 +52,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     if not scratch:
         atexit.register(_tidy)
     scratch.append(path)
+    for made in _watching.get():
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch_of():
+    """The list of the folders that this thread's code writes inside the block; other threads' and other runs' are not in it."""
+    made: list[str] = []
+    before = _watching.set((*_watching.get(), made))
+    try:
+        yield made
+    finally:
+        _watching.reset(before)
+
+
 def _tidy() -> None:
     """What this process has written goes when it ends, if its session still can."""
     spark = SparkSession.getActiveSession()
@@ -69,10 +86,37 @@ def release(spark: SparkSession, paths: list[str]) -> None:
 
 
 def hash_sample(df: DataFrame, rows: int, size: int, *keys: str) -> DataFrame:
-    """About `size` of the `rows` rows of `df`, and never more than twice as many: those whose keys hash low. Nothing is sorted."""
+    """About `size` of the `rows` rows of `df`: those whose keys hash low. If many rows have equal keys, the first 2 * `size` by hash and keys.
+
+    Which rows are taken depends on their values alone. A sort of what hashes low keeps the bound; it holds no more rows than the limit on any task.
+    """
     wide = 1 << 40
-    low = F.pmod(F.xxhash64(F.lit("sample"), *keys), F.lit(wide)) < F.lit(min(wide, -(-wide * size // max(1, rows))))
-    return df.where(low).limit(2 * size)
+    h = F.pmod(F.xxhash64(F.lit("sample"), *keys), F.lit(wide))
+    return df.where(h < F.lit(min(wide, -(-wide * size // max(1, rows))))).orderBy(h, *keys).limit(2 * size)
+
+
+#: Bits of a sieve for each key, and the most it may have (32 MB); beyond, it holds back less, and what it guards is only moved more.
+SIEVE, SIEVE_BITS = 16, 1 << 28
+
+
+def sieve(df: DataFrame, column: str, keys: DataFrame, name: str) -> DataFrame:
+    """`df` with a boolean column `name`: true where the long column `column` has a value that `keys` has, and seldom elsewhere.
+
+    It spares large rows a shuffle whose join would only drop them. Its bits are counted first, so what goes to the
+    executors is bounded; the join behind it decides.
+    """
+    rows = keys.count()
+    bits = 1 << 16
+    while bits < min(SIEVE_BITS, SIEVE * rows):
+        bits *= 2
+    at = F.pmod(F.xxhash64(column), F.lit(bits)) + 1  # buckets of 32,768 bits are counted from 1
+    bucket, map_ = f"{name}_bucket", f"{name}_map"
+    maps = keys.groupBy(F.bitmap_bucket_number(at).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias(map_))
+    place = F.bitmap_bit_position(at).cast("int")
+    byte = F.conv(F.hex(F.substring(map_, F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    bit = byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), place.bitwiseAND(F.lit(7)) + 1)) != 0
+    joined = df.withColumn(bucket, F.bitmap_bucket_number(at)).join(F.broadcast(maps), bucket, "left")
+    return joined.withColumn(name, F.coalesce(bit, F.lit(False))).drop(bucket, map_)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
