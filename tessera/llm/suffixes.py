@@ -233,14 +233,25 @@ def _whole_characters(data: bytes, runs: list[tuple[int, int]]) -> list[tuple[in
     return out
 
 
+def whole_words(data: bytes, start: int, end: int) -> int:
+    """Words of `data` that lie in [start, end) as a whole."""
+    n = len(data[start:end].split())
+    if n and start and not data[start - 1 : start].isspace() and not data[start : start + 1].isspace():
+        n -= 1
+    if n and end < len(data) and not data[end : end + 1].isspace() and not data[end - 1 : end].isspace():
+        n -= 1
+    return n
+
+
 def _removed(kept: T.DataType) -> T.StructType:
     return struct(n_bytes=T.LongType(), n_removed=T.LongType(), runs=T.ArrayType(struct(s=T.IntegerType(), e=T.IntegerType())), kept=kept)
 
 
-def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", out: str = "dedup", length: int = LENGTH, probe: int = PROBE, characters: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", out: str = "dedup", length: int = LENGTH, probe: int = PROBE, characters: bool = False, words: int = 0) -> DataFrame:
     """`docs` with a struct column `out`: n_bytes, n_removed, the maximal removed runs, and the bytes kept.
 
-    With `characters`, runs leave out what they hold of a character in part, and `kept` is a string.
+    With `characters`, runs leave out what they hold of a character in part, and `kept` is a string. Runs of fewer whole
+    words than `words` stay.
     """
     id_, hash_, of_, spans_ = fresh(docs, "id", "hash", "of_hash", "spans")
     docs = docs.withColumn(hash_, F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
@@ -251,7 +262,8 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", out:
     def remove(column: pa.Array, found: pa.Array) -> pa.Array:
         rows = []
         for t, s in zip(texts(column), found.to_pylist(), strict=True):
-            data, runs = t.encode(), _union(s)
+            data = t.encode()
+            runs = [r for r in _union(s) if not words or whole_words(data, *r) >= words]
             if characters:
                 runs = _whole_characters(data, runs)
             rows.append({"n_bytes": len(data), "n_removed": sum(e - s for s, e in runs), "runs": [{"s": s, "e": e} for s, e in runs], "kept": cut(data, runs)})

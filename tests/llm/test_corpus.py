@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -285,6 +286,22 @@ def test_packing_neighbours_share_words():
     assert alike > 0.85  # documents of one vocabulary meet
 
 
+def test_packing_finds_neighbours_in_all_shards(spark):
+    """Documents of one of 48 subjects, dealt out at random; a shard holds a twelfth of them."""
+    random.seed(2)
+    words = [["".join(random.choice("bcdfglmnprst") + random.choice("aeiou") for _ in range(3)) for _ in range(30)] for _ in range(49)]
+    subject = {i: random.randrange(48) for i in range(768)}
+    texts = [(i, " ".join(random.choice(words[k] if random.random() < 0.4 else words[48]) for _ in range(120))) for i, k in subject.items()]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(7)
+    windows: dict = {}
+    rows = packing.retrieval_packing(df, shard_rows=64).collect()
+    for r in rows:
+        windows.setdefault(r.sequence_id, Counter())[subject[r.doc_id]] += r.length
+    assert len(windows) > 40 and len({r.doc_id for r in rows}) == 768
+    alike = sum(max(c.values()) for c in windows.values()) / sum(sum(c.values()) for c in windows.values())
+    assert alike > 0.6, alike  # about 14 documents a window, 16 of each subject: by chance it is below 0.2
+
+
 def test_bm25_scores():
     docs = [np.array(x, np.uint16) for x in ([1, 1, 2], [1, 3], [4], [5, 6, 7], [8])]
     index = packing.BM25(docs)
@@ -312,22 +329,46 @@ def brute_pipeline(docs):
     from test_text import brute_repeats
 
     kept = [(i, t) for i, t in docs if t and (s := brute_repeats(t)) and s[0] >= 10 and 100 * s[1] <= 20 * s[0] and s[2] <= 100]
-    prints = np.array([simhash.fingerprint(t, 5, size=2) for _, t in kept], np.uint64)
-    assert [int(p[0]) for p in prints] == [naive_print(t, 5) for _, t in kept]
-    of = groups(len(kept), [(i, int(j)) for i in range(len(kept)) for j in np.flatnonzero(np.bitwise_count(prints[i] ^ prints[i + 1 :]).sum(1) <= 19) + i + 1])
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.lower().split() for _, t in kept)]
+    of = groups(len(kept), [(i, j) for i in range(len(kept)) for j in range(i + 1, len(kept)) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])])
     first: dict = {}
     for (i, t), g in sorted(zip(kept, of, strict=True)):
         first.setdefault(g, (i, t))
     kept = sorted(first.values())
-    return {i: b[3].decode(errors="ignore") for (i, _), b in zip(kept, brute_removed([t for _, t in kept], 400), strict=True)}
+    return {i: brute_cut(t, b) for (i, t), b in zip(kept, brute_gone([t for _, t in kept], 240), strict=True)}
+
+
+def brute_gone(texts, length):
+    """Which bytes of each text a string of `length` bytes covers that starts anywhere else too."""
+    data = [t.encode() for t in texts]
+    count = Counter(b[i : i + length] for b in data for i in range(len(b) - length + 1))
+    out = []
+    for b in data:
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - length + 1):
+            if count[b[i : i + length]] > 1:
+                gone[i : i + length] = True
+        out.append(gone)
+    return out
+
+
+def brute_cut(text, gone):
+    """The text (of one byte a character) without the runs that hold more than 50 words."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))).tolist()
+    out, at = "", 0
+    for s, e in zip(edges[::2], edges[1::2], strict=True):
+        if sum(m.start() >= s and m.end() <= e for m in re.finditer(r"\S+", text)) > 50:
+            out, at = out + text[at:s], e
+    return out + text[at:]
 
 
 def test_pipeline_against_brute_force(spark, tmp_path):
     random.seed(5)
     sentence = lambda n: " ".join("".join(random.choice("abcdefghijklmnopq") for _ in range(random.randint(2, 8))) for _ in range(n))
-    passage = sentence(90)
+    passage, shorter, too_short = sentence(90), sentence(51), sentence(50)
     clean = [sentence(random.randint(12, 120)) for _ in range(40)]
     texts = clean + [clean[0], clean[1] + " more", "spam " * 60, sentence(3), "", None] + [f"{sentence(80)} {passage} {sentence(70)}" for _ in range(3)]
+    texts += [f"{sentence(70)} {p} {sentence(90)}" for p in (shorter, too_short, sentence(60)) for _ in range(4)] + [f"{shorter}\n{sentence(60)}"]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     want = brute_pipeline(list(enumerate(texts)))
@@ -338,7 +379,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         assert now.columns == docs.columns and now.dtypes == docs.dtypes, k
     got = {r.doc_id: r.text for r in now.collect()}
     assert got == want and all(r.n_chars == len(r.text) for r in now.collect())
-    assert all(passage not in t for t in got.values())
+    assert all(passage not in t and shorter not in t for t in got.values()) and sum(too_short in t for t in got.values()) == 4
     tokenizer = Tokenizer.from_file(packing.public_tokenizers.path(packing.VOCABULARY))
     ids = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for i, t in want.items()}
     assert check_packing([tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()], ids) == 0
