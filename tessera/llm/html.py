@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from functools import lru_cache
 from html import unescape
 
@@ -29,6 +30,8 @@ PATHS, WORDS, RATIOS = 1024, 256, 6
 EMBEDDED, HIDDEN = 24, 16
 #: Generated pages that the labeller is fitted on.
 TRAIN_PAGES, EPOCHS = 1600, 6
+#: Innermost elements of a tag path, and parts of an element's names, that the labeller looks at.
+DEPTH, NAMES = 48, 32
 #: Pages read together, by length.
 TOGETHER = 64
 
@@ -50,6 +53,8 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
     for m in _NAMED.finditer(attributes) if attributes else ():
         for word in (m[1] or m[2] or m[3] or "").split():
             out += [f".{p.lower()}" for p in _PARTS.findall(word)]
+            if len(out) > NAMES:
+                return tuple(out[: NAMES + 1])
     return tuple(out)
 
 
@@ -61,6 +66,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
     linked = 0
     path: tuple[str, ...] = ()
     at = 0
+    opened: Counter[str] = Counter()  # how many of each tag are on the stack
 
     def end_block() -> None:
         nonlocal linked
@@ -81,11 +87,16 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         if not pieces:
             if chunk.isspace():
                 return
-            path = tuple(x for _, names in stack for x in names)
+            path = tuple(x for _, names in stack[-DEPTH:] for x in names)
         pieces.append(chunk)
-        if any(t == "a" for t, _ in stack):
+        if opened["a"]:
             linked += len(chunk)
 
+    def end_from(k: int) -> None:
+        for t, _ in stack[k:]:
+            opened[t] -= 1
+        del stack[k:]
+
     while m := _TAG.search(page, at):
         add(page[at : m.start()])
         at = m.end()
@@ -98,24 +109,27 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         elif tag == "br" and pieces:
             pieces.append(" ")
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            k = len(stack) - 1
+            while opened[tag] and stack[k][0] != tag:
+                k -= 1
+            if opened[tag]:
+                end_from(k)
             continue
         if tag in RAW:
             close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
             at = close.end() if close else len(page)
             continue
         ends = SIBLING.get(tag, ()) if tag in SIBLING else () if tag in INLINE else ("p",)
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in ends:
-                del stack[k:]
-                break
-            if stack[k][0] in SCOPE:
-                break
+        if any(opened[t] for t in ends):
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] in ends:
+                    end_from(k)
+                    break
+                if stack[k][0] in SCOPE:
+                    break
         if tag not in VOID and not m[3].endswith("/"):
             stack.append((tag, _names(tag, m[3])))
+            opened[tag] += 1
     add(page[at:])
     end_block()
     return out

@@ -197,6 +197,22 @@ def test_html_blocks():
     assert html.blocks("") == [] and html.blocks("<p") == [] and html.blocks("x")[0][1] == "x"
 
 
+def test_html_blocks_of_deep_pages_in_linear_time():
+    import time
+
+    def took(n):
+        page = "".join(f"<div class='a b'>text {i}" for i in range(n)) + "<a>link " * 50 + "</p></li>" * n
+        began = time.process_time()
+        found = html.blocks(page)
+        assert [b[1] for b in found[:3]] == ["text 0", "text 1", "text 2"] and len(found) == n and max(len(b[0]) for b in found) <= 3 * html.DEPTH
+        return time.process_time() - began
+
+    took(500)
+    assert took(20000) < 12 * max(took(4000), 0.02)
+    wide = html.blocks("<p class='" + "x " * 50000 + "'>one<p>two")
+    assert [b[1] for b in wide] == ["one", "two"] and len(wide[0][0]) <= html.NAMES + 1
+
+
 def test_html_labels_held_out_pages():
     labeller, features, wrong, total = html.trained(), html.Features(), 0, 0
     for seed in range(500_000, 500_200):
