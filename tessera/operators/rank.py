@@ -31,9 +31,27 @@ def search_units(documents: Column) -> Column:
 def overlap_scores(queries: DataFrame, documents: DataFrame, query: str, document: str, text: str = "text") -> DataFrame:
     """(query, document, score): share of the query's distinct words that the document holds, for pairs that share one.
 
-    Each side is tokenized once and the two meet on words, so no pair without a common word is ever made.
+    Each side is tokenized once and the two meet on words, so no pair without a common word is ever made. Documents are dealt
+    out by their id first, as words: where the queries' words are few enough for Spark to send them to every task, a
+    document's matches are then counted, and a bound on the rank applied, where they are made, and no pair is shuffled.
     """
     tokens = F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != ""))
     q = queries.select(query, tokens.alias("t")).select(query, F.size("t").alias("n"), F.explode("t").alias("token"))
-    d = documents.select(document, F.explode(tokens).alias("token"))
-    return q.join(d, "token").groupBy(query, document).agg((F.count("*") / F.max("n")).alias("score"))
+    d = documents.select(document, tokens.alias("t")).repartition(document).select(document, F.explode("t").alias("token"))
+    return d.join(q, "token").groupBy(query, document).agg((F.count("*") / F.max("n")).alias("score"))
+
+
+def holding(queries: DataFrame, documents: DataFrame, query: str, document: str, text: str = "text") -> DataFrame:
+    """(query, document): pairs whose document has the query's whole text in it.
+
+    A text's words, its first and last apart, stand between spaces wherever it is found; so its longest inner word finds
+    the documents to look into. Texts without an inner word are looked for in all documents.
+    """
+    words = lambda c: F.split(c, " ")
+    inner = F.filter(F.slice(words(F.col(text)), 2, F.greatest(F.size(words(F.col(text))) - 2, F.lit(0))), lambda w: w != "")
+    anchor = F.element_at(F.sort_array(F.transform(inner, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w")))), -1)["w"]
+    q = queries.select(query, F.col(text).alias("wanted"), F.when(F.size(inner) > 0, anchor).alias("word"))
+    d = documents.select(document, F.col(text).alias("own"))
+    by_word = d.select(document, "own", F.explode(F.array_distinct(words(F.col("own")))).alias("word")).join(q.where("word is not null"), "word")
+    short = d.join(q.where("word is null").drop("word"), F.contains("own", "wanted"))
+    return by_word.where(F.contains("own", "wanted")).select(query, document).unionByName(short.select(query, document))

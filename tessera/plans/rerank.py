@@ -29,26 +29,39 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC
 SELECT item_id, doc_id, rank, round(score, 6) AS score, (SELECT CAST((count(*) + 99) // 100 AS BIGINT) FROM documents) AS search_units FROM r WHERE rank <= {TOP}"""
 
 
-def _pairs(spark, sf_dir):
-    """Requests with documents of their own: an item and the documents whose id leaves the item's id when divided by 40."""
-    q = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 40).alias("query"), F.pmod("item_id", F.lit(40)).alias("k"))
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.pmod("doc_id", F.lit(40)).alias("k"))
-    return q.join(d, "k").drop("k")
+def _best(spark, sf_dir, n):
+    """(item_id, doc_id, score): of the stand-in's scores of every document for every item, each item's `n` best and some more.
+
+    A document that holds the item's text scores alike wherever it does; all others score by length alone. So the best are
+    among those that hold it and the longest of all documents, of which as many are taken as the item's holders, which
+    leave their places, cannot use up.
+    """
+    items, documents = (table(spark, sf_dir, t) for t in ("benchmark", "documents"))
+    held = rank.holding(items, documents, "item_id", "doc_id")
+    size = n
+    while True:
+        longest = documents.select("doc_id", F.char_length("text").alias("n"), "text").orderBy(F.desc("n"), "doc_id").limit(size)
+        displaced = rank.holding(items, longest, "item_id", "doc_id").groupBy("item_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+        if size - displaced >= n or longest.count() < size:
+            break
+        size *= 2
+    # as many rows as are asked for, beside every item
+    beside = items.select("item_id", F.col("text").alias("query")).join(F.broadcast(longest.select("doc_id", "text")))
+    by_length = encode.rerank(beside, "query", "text").select("item_id", "doc_id", "score")
+    by_text = held.select("item_id", "doc_id", F.lit(encode.CONTAINED).cast("float").alias("score"))
+    return by_length.unionByName(by_text).distinct()
 
 
-_PAIRS = "pairs AS (SELECT item_id, substring(b.text, 1, 40) AS query, doc_id, d.text FROM benchmark b JOIN documents d ON item_id % 40 = doc_id % 40)"
 _FAKE = "CASE WHEN contains(text, query) THEN 0.9::FLOAT ELSE CAST(CAST(length(text) AS DOUBLE) / 1000 AS FLOAT) END"
-
-
-def _fake(spark, sf_dir):
-    return encode.rerank(_pairs(spark, sf_dir), "query", "text")
+_PAIRS = "pairs AS (SELECT item_id, b.text AS query, doc_id, d.text FROM benchmark b CROSS JOIN documents d)"
 
 
 def rerank_fake(spark, sf_dir):
-    """The stand-in's scores, ranked, with tokens and units of the whole request."""
-    scores = _fake(spark, sf_dir).select("item_id", "doc_id", "score")
-    totals = scores.groupBy("item_id").agg(rank.search_units(F.count("*")).alias("search_units"), (F.count("*") * encode.PER_DOCUMENT).alias("input_tokens"))
-    return rank.ranked(scores, "item_id", "doc_id", "score", TOP).join(totals, "item_id").select("item_id", "doc_id", "rank", F.round(F.col("score").cast("double"), 6).alias("score"), "search_units", "input_tokens")
+    """The stand-in's scores over all documents, the ten best of each item, with tokens and units of the whole request."""
+    total = table(spark, sf_dir, "documents").agg(rank.search_units(F.count("*")).alias("search_units"), (F.count("*") * encode.PER_DOCUMENT).alias("input_tokens"))
+    best = rank.ranked(_best(spark, sf_dir, TOP), "item_id", "doc_id", "score", TOP)
+    # `total` is a single row
+    return best.join(F.broadcast(total)).select("item_id", "doc_id", "rank", F.round(F.col("score").cast("double"), 6).alias("score"), "search_units", "input_tokens")
 
 
 RERANK_FAKE = f"""
@@ -59,8 +72,9 @@ SELECT item_id, doc_id, rank, round(CAST(score AS DOUBLE), 6) AS score, search_u
 
 
 def pair_counts(spark, sf_dir):
-    """Documents paired with each query, and their characters."""
-    return _pairs(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("documents"), F.sum(F.char_length("text")).cast("long").alias("n_chars"))
+    """Documents paired with each query, and their characters: every query meets every document, so the table's totals say it."""
+    total = table(spark, sf_dir, "documents").agg(F.count("*").alias("documents"), F.sum(F.char_length("text")).cast("long").alias("n_chars"))
+    return table(spark, sf_dir, "benchmark").select("item_id").join(F.broadcast(total))  # a single row
 
 
 PAIR_COUNTS = f"WITH {_PAIRS} SELECT item_id, count(*) AS documents, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM pairs GROUP BY item_id"
@@ -68,7 +82,7 @@ PAIR_COUNTS = f"WITH {_PAIRS} SELECT item_id, count(*) AS documents, CAST(sum(le
 
 def top_n_per_request(spark, sf_dir):
     """The bound comes with each request: 1 + item_id % 5."""
-    return rank.ranked(_fake(spark, sf_dir), "item_id", "doc_id", "score", 1 + F.col("item_id") % 5).select("item_id", "doc_id", "rank")
+    return rank.ranked(_best(spark, sf_dir, 5), "item_id", "doc_id", "score", 1 + F.col("item_id") % 5).select("item_id", "doc_id", "rank")
 
 
 TOP_N = f"""
@@ -76,6 +90,16 @@ WITH {_PAIRS}, r AS (SELECT item_id, doc_id, CAST(row_number() OVER (PARTITION B
 SELECT item_id, doc_id, rank FROM r WHERE rank <= 1 + item_id % 5"""
 
 
+def holding_counts(spark, sf_dir):
+    """In how many documents each item's whole text is found."""
+    items = table(spark, sf_dir, "benchmark")
+    found = rank.holding(items, table(spark, sf_dir, "documents"), "item_id", "doc_id").groupBy("item_id").agg(F.count("*").alias("documents"))
+    return items.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("documents", F.lit(0)).cast("long").alias("documents"))
+
+
+HOLDING = f"WITH {_PAIRS} SELECT item_id, count(*) FILTER (WHERE contains(text, query)) AS documents FROM pairs GROUP BY item_id"
+
+
 def sigmoid_scores(spark, sf_dir):
     logit = (F.get("embedding", F.lit(0)) * F.lit(10.0).cast("float")).cast("float")
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(sigmoid(logit).cast("double"), 6).alias("score"))
@@ -103,18 +127,24 @@ def planted_first(spark, sf_dir):
 PLANTED = RERANK_TOPN.replace("SELECT item_id, doc_id, rank, round(score, 6) AS score, (SELECT CAST((count(*) + 99) // 100 AS BIGINT) FROM documents) AS search_units FROM r WHERE rank <= 10", "SELECT item_id, round(score, 6) = 1 AS all_words, doc_id AS first_doc FROM r WHERE rank = 1")
 
 
+#: A request is a bounded range of ids inside a source.
+REQUEST = 1024
+
+
 def realigned_scores(spark, sf_dir):
-    """Results in rank order put back into document order by their index."""
-    best = rank.ranked(_fake(spark, sf_dir), "item_id", "doc_id", "score")
-    back = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.col("rank")))), lambda x: x["rank"].cast("string"))
-    return best.groupBy("item_id").agg(F.sha2(F.array_join(back, ","), 256).alias("ranks"))
+    """Every request's results, ranked, as rows that go back to their document by its index: (request, doc_id, rank, score)."""
+    request = F.concat_ws(":", "source", F.floor(F.col("doc_id") / REQUEST).cast("string"))
+    scored = table(spark, sf_dir, "documents").select(request.alias("request"), "doc_id", encode.stand_in_score(F.lit("license"), F.col("text")).alias("score"))
+    best = rank.ranked(scored, "request", "doc_id", "score")
+    return best.select("request", "doc_id", "rank", F.round(F.col("score").cast("double"), 6).alias("score"))
 
 
 REALIGNED = f"""
-WITH {_PAIRS}, r AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY {_FAKE} DESC, doc_id) AS rank FROM pairs)
-SELECT item_id, sha256(string_agg(rank::VARCHAR, ',' ORDER BY doc_id)) AS ranks FROM r GROUP BY item_id"""
+WITH s AS (SELECT source || ':' || (doc_id // {REQUEST}) AS request, doc_id, {_FAKE.replace("query", "'license'")} AS score FROM documents)
+SELECT request, doc_id, CAST(row_number() OVER (PARTITION BY request ORDER BY score DESC, doc_id) AS INTEGER) AS rank, round(CAST(score AS DOUBLE), 6) AS score FROM s"""
 
 QUERIES = {
     "rerank_topn": (rerank_topn, RERANK_TOPN), "rerank_fake": (rerank_fake, RERANK_FAKE), "pair_counts": (pair_counts, PAIR_COUNTS), "top_n_per_request": (top_n_per_request, TOP_N),
     "sigmoid_scores": (sigmoid_scores, SIGMOID), "argmax_per_label": (argmax_per_label, ARGMAX), "planted_first": (planted_first, PLANTED), "realigned_scores": (realigned_scores, REALIGNED),
+    "holding_counts": (holding_counts, HOLDING),
 }

@@ -83,16 +83,26 @@ SELECT doc_id, round(CAST(CAST(sum(weight * weight::DOUBLE) / sum(weight) AS FLO
 
 
 def row_assembly(spark, sf_dir):
-    """Each document's first row of 16: prefix, tokens, suffix and padding, with its mask."""
-    w = _windows(spark, sf_dir).where("win = 0").select("doc_id", F.least(F.col("weight"), F.lit(14)).alias("n"))
-    ids = F.sequence(F.lit(1), F.col("n"))
-    row = tokens.row(ids, F.lit(0), F.col("n"), F.array(F.lit(101)), F.array(F.lit(102)), 0, 16)
-    return w.select("doc_id", F.array_join(row.cast("array<string>"), ",").alias("row"), F.array_join(tokens.mask(F.col("n") + 2, 16).cast("array<string>"), ",").alias("mask"))
-
-
-ROWS = f"""WITH RECURSIVE {_RECURSION}, f AS (SELECT doc_id, least(weight, 14)::INTEGER AS n FROM v WHERE win = 0)
-SELECT doc_id, concat_ws(',', '101', array_to_string(range(1, n + 1), ','), '102', CASE WHEN n < 14 THEN array_to_string(list_transform(range(14 - n), lambda x: 0), ',') END) AS row,
-  array_to_string(list_transform(range(16), lambda x: CASE WHEN x < n + 2 THEN 1 ELSE 0 END), ',') AS mask FROM f"""
+    """Every window of every document as a model's row of the full length, its own token ids between the special ones, padding
+    behind, and its mask: both as digests, with the tokens that count."""
+    pieces = F.flatten(F.transform(tokens.words(F.col("text")), lambda w: F.transform(F.sequence(F.lit(1), F.char_length(w), F.lit(tokens.PIECE)), lambda i: F.substring(w, i, F.lit(tokens.PIECE)))))
+    ids = F.concat(F.array(F.lit(0)), F.transform(pieces, lambda p: FIRST_ID + 64 * F.ascii(p) + F.char_length(p)), F.array(F.lit(0)))
+    docs = table(spark, sf_dir, "documents").select("doc_id", ids.alias("ids"), tokens.windows(tokens.word_ids(F.col("text")), LIMIT).alias("w"))
+    # only its own slice goes with a window
+    own = F.transform("w", lambda w: F.struct(F.when(w["wrap"], F.slice("ids", w["from"] + 1, w["weight"])).otherwise(F.slice("ids", 2, w["length"] - 2)).alias("ids"), w["length"].alias("n")))
+    rows = docs.select("doc_id", F.posexplode(own).alias("win", "x")).select("doc_id", "win", "x.*")
+    row = tokens.row(F.col("ids"), F.lit(0), F.size("ids"), F.array(F.lit(CLS)), F.array(F.lit(SEP)), 0, LIMIT)
+    text = lambda c: F.md5(F.array_join(c.cast("array<string>"), ",").cast("binary"))
+    return rows.select("doc_id", "win", F.col("n").cast("long").alias("n"), text(row).alias("row_md5"), text(tokens.mask(F.col("n"), LIMIT)).alias("mask_md5"))
+
+
+#: Ids of the stand-in's special tokens, and where those of its pieces begin.
+CLS, SEP, FIRST_ID = 101, 102, 1000
+ROWS = f"""WITH RECURSIVE {_RECURSION},
+i AS (SELECT doc_id, flatten(list_transform(w, lambda x: list_transform(range(1, length(x) + 1, 4), lambda k: {FIRST_ID} + 64 * unicode(substring(x, k, 4)) + length(substring(x, k, 4))))) AS ids FROM p),
+a AS (SELECT doc_id, win, v.length::BIGINT AS n, list_concat([{CLS}], CASE WHEN wrap THEN list_slice(ids, "from", "to" - 1) ELSE ids END, [{SEP}]) AS own FROM v JOIN i USING (doc_id))
+SELECT doc_id, win, n, md5(array_to_string(list_concat(own, list_transform(range({LIMIT} - n), lambda x: 0)), ',')) AS row_md5,
+  md5(array_to_string(list_transform(range({LIMIT}), lambda x: CASE WHEN x < n THEN 1 ELSE 0 END), ',')) AS mask_md5 FROM a"""
 
 #: A round is a bounded range of ids inside a source.
 ROUND = 4096
