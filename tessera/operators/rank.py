@@ -52,6 +52,8 @@ def holding(queries: DataFrame, documents: DataFrame, query: str, document: str,
     anchor = F.element_at(F.sort_array(F.transform(inner, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w")))), -1)["w"]
     q = queries.select(query, F.col(text).alias("wanted"), F.when(F.size(inner) > 0, anchor).alias("word"))
     d = documents.select(document, F.col(text).alias("own"))
-    by_word = d.select(document, "own", F.explode(F.array_distinct(words(F.col("own")))).alias("word")).join(q.where("word is not null"), "word")
+    # words go without their text; the few pairs that share an anchor come back for it
+    by_word = d.select(document, F.explode(F.array_distinct(words(F.col("own")))).alias("word")).join(q.where("word is not null"), "word")
     short = d.join(q.where("word is null").drop("word"), F.contains("own", "wanted"))
-    return by_word.where(F.contains("own", "wanted")).select(query, document).unionByName(short.select(query, document))
+    found = d.join(by_word.select(query, document, "wanted"), document).where(F.contains("own", "wanted"))
+    return found.select(query, document).unionByName(short.select(query, document))

@@ -87,10 +87,11 @@ def row_assembly(spark, sf_dir):
     behind, and its mask: both as digests, with the tokens that count."""
     pieces = F.flatten(F.transform(tokens.words(F.col("text")), lambda w: F.transform(F.sequence(F.lit(1), F.char_length(w), F.lit(tokens.PIECE)), lambda i: F.substring(w, i, F.lit(tokens.PIECE)))))
     ids = F.concat(F.array(F.lit(0)), F.transform(pieces, lambda p: FIRST_ID + 64 * F.ascii(p) + F.char_length(p)), F.array(F.lit(0)))
-    docs = table(spark, sf_dir, "documents").select("doc_id", ids.alias("ids"), tokens.windows(tokens.word_ids(F.col("text")), LIMIT).alias("w"))
-    # only its own slice goes with a window
-    own = F.transform("w", lambda w: F.struct(F.when(w["wrap"], F.slice("ids", w["from"] + 1, w["weight"])).otherwise(F.slice("ids", 2, w["length"] - 2)).alias("ids"), w["length"].alias("n")))
-    rows = docs.select("doc_id", F.posexplode(own).alias("win", "x")).select("doc_id", "win", "x.*")
+    # each array in a step of its own, so that it is made once
+    docs = table(spark, sf_dir, "documents").select("doc_id", ids.alias("ids"), tokens.word_ids(F.col("text")).alias("words"))
+    rows = docs.select("doc_id", "ids", F.posexplode(tokens.windows(F.col("words"), LIMIT)).alias("win", "w"))
+    own = F.when(F.col("w.wrap"), F.slice("ids", F.col("w.from") + 1, F.col("w.weight"))).otherwise(F.slice("ids", F.lit(2), F.col("w.length") - 2))
+    rows = rows.select("doc_id", "win", own.alias("ids"), F.col("w.length").alias("n"))
     row = tokens.row(F.col("ids"), F.lit(0), F.size("ids"), F.array(F.lit(CLS)), F.array(F.lit(SEP)), 0, LIMIT)
     text = lambda c: F.md5(F.array_join(c.cast("array<string>"), ",").cast("binary"))
     return rows.select("doc_id", "win", F.col("n").cast("long").alias("n"), text(row).alias("row_md5"), text(tokens.mask(F.col("n"), LIMIT)).alias("mask_md5"))
