@@ -2,10 +2,12 @@
 
 Texts are cut into chunks of bounded size. A pass writes each chunk's distinct words as hashes with their training counts, dealt out
 in blobs by hash, and its texts as compressed numbers of those words; so a word goes through the shuffle once a chunk, not
-once an occurrence. Buckets of hashes add up the counts of all chunks and hand each chunk its own words' totals back. The model's
-outcomes are the commonest words of the whole corpus; it is trained on about `TRAIN_TEXTS` texts that hash low, twice as many
-at most: in each round every shard makes a pass of mini-batch gradient steps and the driver averages what they changed. Tables
-have fixed sizes, so the model that is sent out does not grow.
+once an occurrence. Buckets of hashes add up the counts of all chunks, and then hand each chunk its own words' totals back; neither
+holds more than a bucket's distinct words. With the totals, texts are written as the model's outcomes, and the model is
+trained on all training texts, each in one of `ROUNDS` rounds: every task makes a pass of mini-batch gradient steps over its
+texts from the weights so far, and the changes are added up by blocks of rows, one block at a time, and averaged over the
+tasks that touched a row. The hashed tables grow with the training tokens up to a size that can be sent to every task
+(`ROWS`); a task's texts grow with the tables, so that what changes is a fixed share of what is read.
 
 Defined results: a null text is empty and scores its end alone; a null id counts as the empty string for the folds; rows are
 scored one by one, so repeated rows score alike; with no training texts every word is unknown; empty tables give no rows;
@@ -15,7 +17,7 @@ other columns are left out.
 from __future__ import annotations
 
 from collections import defaultdict
-from copy import copy
+from dataclasses import replace
 from itertools import count
 
 import numpy as np
@@ -27,18 +29,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_sample, struct, table, whole_groups, written
+from .common import struct, table, values, written
 from .maxent import Model, Shape
 
-SHAPE = Shape()
-TRAIN_TEXTS = 4000
-SHARDS = 4
 ROUNDS = 3
 RATE = 0.3
+#: Training tokens a row of the hashed tables stands for, and the least and most rows of a table.
+TOKENS_ROW, ROWS = 4096, (1 << 13, 1 << 17)
+#: Tokens a training task reads for each row of the model's tables; rows of a block.
+TASK_TOKENS, BLOCK = 96, 1024
 #: Bytes of text in a chunk.
 CHUNK = 8 << 20
 #: Tokens scored together.
 PASS_TOKENS = 100_000
+#: Words that a bucket adds up at once.
+MERGE = 1 << 20
+#: Outcomes; the hashed tables have as many rows as the corpus asks for.
+SHAPE = Shape()
 #: No word holds a space, so this one stands for the end.
 END = b" "
 
@@ -51,17 +58,17 @@ def word_hashes(words) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words)).view(np.int64)
 
 
-def _pack(ids: np.ndarray) -> bytes:
+def _pack(ids: np.ndarray, width: int = 4) -> bytes:
     """Bytes of one significance together, compressed."""
-    return zstandard.compress(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    return zstandard.compress(ids.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes(), 1)
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+def _unpack(data: bytes, width: int = 4) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), np.uint8).reshape(width, -1).T.copy().view(f"<u{width}").ravel().astype(np.int64)
 
 
 #: kind 0: a chunk's words of one bucket (hashes, counts); 1: the numbers of a chunk's words, bucket after bucket; 2: a text (id,
-#: held out, numbers of its words); 3: a bucket's commonest words (hashes, counts); 4: its count and distinct words in training.
+#: held out, numbers of its words); 3: a bucket's commonest words (hashes, counts); 4: its counts and distinct words by shared outcome.
 PARTS = struct(chunk=T.LongType(), kind=T.IntegerType(), bucket=T.IntegerType(), doc_id=T.LongType(), held_out=T.BooleanType(), a=T.BinaryType(), b=T.BinaryType())
 
 
@@ -114,46 +121,86 @@ def _split(buckets: int):
     return run
 
 
+def _merged(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes, sorted, and their sums."""
+    h, c = np.concatenate([np.empty(0, np.int64), *hashes]), np.concatenate([np.empty(0, np.int64), *counts])
+    order = np.argsort(h)
+    h, c = h[order], c[order]
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+    return h[first], np.add.reduceat(c, first) if len(first) else c
+
+
 def _add_up(batches):
-    """Of each bucket: every chunk's words with their totals, then the bucket's commonest words and sums."""
-    for some in whole_groups(batches, "bucket"):
-        for rows in _each(some, "bucket"):
-            yield from _add_bucket(rows)
-
-
-def _each(rows: pa.Table, key: str):
-    keys = rows[key].to_numpy()
-    edge = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    for s, e in zip(edge, np.append(edge[1:], len(keys)), strict=True):
-        yield rows.slice(s, e - s)
-
-
-def _add_bucket(rows: pa.Table):
-    hashes = [np.frombuffer(x, np.int64) for x in rows["a"].to_pylist()]
-    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["b"].to_pylist()])
-    distinct, of = np.unique(np.concatenate(hashes), return_inverse=True)
-    total = np.bincount(of, counts).astype(np.int64)
-    ends = np.cumsum([len(h) for h in hashes])
-    bucket = rows["bucket"][0].as_py()
-    out = [(c, 0, bucket, None, None, h.tobytes(), total[of[e - len(h) : e]].tobytes()) for c, h, e in zip(rows["chunk"].to_pylist(), hashes, ends, strict=True)]
-    top = np.lexsort((distinct, -total))[: SHAPE.words]
-    top = top[total[top] > 0]
-    sums = np.array([total.sum(), np.count_nonzero(total)], np.int64)
-    out.append((-1, 3, bucket, None, None, distinct[top].tobytes(), total[top].tobytes()))
-    out.append((-1, 4, bucket, None, None, sums.tobytes(), None))
-    yield from (_batch(out[i : i + 4096]) for i in range(0, len(out), 4096))
-
-
-def _tops(batches):
+    """Rows by bucket and phase: every chunk's counts are added up; then every chunk's words are answered with their totals.
+
+    Between the two a bucket gives its commonest words, and its counts and distinct words by shared outcome.
+    """
+    at, hashes, counts, size = None, [], [], 0
+    h = c = None
+
+    def close():
+        h, c = _merged(hashes, counts)
+        top = np.lexsort((h, -c))[: SHAPE.single]
+        top = top[c[top] > 0]
+        slot, trained = SHAPE.slot(h), c > 0
+        sums = np.concatenate([np.bincount(slot, c, SHAPE.slots), np.bincount(slot[trained], minlength=SHAPE.slots)]).astype(np.int64)
+        return h, c, _batch([(-1, 3, at, None, None, h[top].tobytes(), c[top].tobytes()), (-1, 4, at, None, None, sums.tobytes(), None)])
+
+    for batch in batches:
+        out = []
+        for bucket, phase, chunk, a, b in zip(*(batch.column(x).to_pylist() for x in ("bucket", "phase", "chunk", "a", "b")), strict=True):
+            if bucket != at:
+                at, hashes, counts, size, h = bucket, [], [], 0, None
+            own = np.frombuffer(a, np.int64)
+            if phase == 0:
+                hashes.append(own)
+                counts.append(np.frombuffer(b, np.uint32).astype(np.int64))
+                size += len(own)
+                if size > MERGE and len(hashes) > 1:
+                    merged = _merged(hashes, counts)
+                    hashes, counts = [merged[0]], [merged[1]]
+                    size = len(merged[0]) // 2  # the next merge is when as much again has come
+                continue
+            if h is None:
+                h, c, sums = close()
+                hashes, counts = [], []
+                yield sums
+            out.append((chunk, 0, bucket, None, None, a, c[np.searchsorted(h, own)].tobytes()))
+        if out:
+            yield _batch(out)
+
+
+def _pairs(batches):
     for batch in batches:
         a, b = (np.concatenate([np.empty(0, np.int64), *(np.frombuffer(x, np.int64) for x in batch.column(c).to_pylist())]) for c in ("a", "b"))
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["hash", "n"])
 
 
 def _sums(batches):
+    """(place, n) of the buckets' sums by shared outcome: first counts, then distinct words."""
     for batch in batches:
-        s = np.sum([np.frombuffer(x, np.int64) for x in batch.column("a").to_pylist()] or [[0, 0]], axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(s[:1]), pa.array(s[1:])], names=["total", "distinct"])
+        s = np.sum([np.frombuffer(x, np.int64) for x in batch.column("a").to_pylist()] or [np.zeros(2 * SHAPE.slots, np.int64)], axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(s))), pa.array(s)], names=["place", "n"])
+
+
+class Vocabulary:
+    """Outcomes of words by hash: the commonest words' own, else the shared one; and what a word's share of that is."""
+
+    def __init__(self, top: np.ndarray, counts: np.ndarray, sums: np.ndarray, distinct: np.ndarray):
+        """top: hashes, the commonest first; counts: theirs; sums, distinct: of all words, by shared outcome."""
+        order = np.argsort(top)
+        self.top, self.outcome = top[order], order
+        slot = SHAPE.slot(top)
+        sums = sums - np.bincount(slot, counts, SHAPE.slots)
+        distinct = distinct - np.bincount(slot, minlength=SHAPE.slots)
+        self.shared = sums + 0.5 * distinct + 0.5
+        self.mass = np.concatenate([counts + 0.5, np.zeros(SHAPE.single - len(counts)), self.shared])
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.top):
+            return SHAPE.single + SHAPE.slot(hashes)
+        place = np.minimum(np.searchsorted(self.top, hashes), len(self.top) - 1)
+        return np.where(self.top[place] == hashes, self.outcome[place], SHAPE.single + SHAPE.slot(hashes))
 
 
 def fold(key: Column) -> Column:
@@ -161,118 +208,155 @@ def fold(key: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 1
 
 
-def _train(texts: DataFrame, model: Model, outcome: dict[int, int]) -> Model:
-    """Rounds of local mini-batch passes over the shards, averaged over the shards that touched a row."""
-    spark = texts.sparkSession
-    known = spark.sparkContext.broadcast(outcome)
+def _train(numbered: DataFrame, model: Model, tokens: int) -> Model:
+    """Rounds over all training texts; what a round changes is averaged over the tasks that touched a row."""
+    spark = numbered.sparkSession
+    tables = (model.class_weights, model.member_weights)
+    tasks = max(1, -(-tokens // (ROUNDS * TASK_TOKENS * sum(map(len, tables)))))
 
-    def number(batches):
-        for batch in batches:
-            ids = [np.array([known.value.get(h, 0) for h in word_hashes(tokens(t or "")).tolist()], np.int32) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("shard"), pa.array([x.tobytes() for x in ids], pa.binary())], names=["shard", "ids"])
-
-    numbered = written(texts.mapInArrow(number, "shard int, ids binary"), "lm-training")
+    def learn(seed: int, sent):
+        def run(batches):
+            learner, waiting, size, number = sent.value.learner(), [], 0, count(seed)
 
-    def learner(seed: int, sent):
-        def learn(rows: pa.Table) -> pa.Table:
-            own = copy(sent.value)  # the worker keeps the broadcast value
-            own.class_weights, own.member_weights = own.class_weights.copy(), own.member_weights.copy()
-            words = [np.frombuffer(x, np.int32).astype(np.int64) for x in sorted(rows["ids"].to_pylist())]
-            touched = own.train(np.concatenate([own.contexts(w) for w in words], 1), np.concatenate(words), RATE, seed)
-            out = []
-            for level, (old, new, hit) in enumerate(zip((sent.value.class_weights, sent.value.member_weights), (own.class_weights, own.member_weights), touched, strict=True)):
-                at = np.flatnonzero(hit).astype(np.int32)
-                out.append((level, at.tobytes(), (new[at] - old[at]).astype(np.float16).tobytes()))
-            return pa.table({"level": pa.array([x[0] for x in out], pa.int32()), "rows": pa.array([x[1] for x in out], pa.binary()), "change": pa.array([x[2] for x in out], pa.binary())})
+            def step():
+                learner.train(np.concatenate([learner.model.contexts(w) for w in waiting], 1), np.concatenate(waiting), RATE, next(number))
+                waiting.clear()
 
-        return learn
+            for batch in batches:
+                for packed in batch.column("ids").to_pylist():
+                    waiting.append(_unpack(packed, 2))
+                    size += len(waiting[-1])
+                    if size >= PASS_TOKENS:
+                        step()
+                        size = 0
+            if waiting:
+                step()
+            for level, (old, new, steps) in enumerate(zip((sent.value.class_weights, sent.value.member_weights), (learner.model.class_weights, learner.model.member_weights), learner.steps, strict=True)):
+                touched = steps > learner.START
+                for block in np.unique(np.flatnonzero(touched) // BLOCK).tolist():
+                    own = slice(block * BLOCK, (block + 1) * BLOCK)
+                    change = (new[own] - old[own]).astype(np.float16)
+                    yield _change([(level << 32 | block, touched[own].astype(np.uint32).tobytes(), change.tobytes())])
+
+        return run
+
+    def add(batches):
+        """Rows by block: one sum at a time."""
+        at, times, total = None, None, None
+        done = lambda: _change([(at, times.tobytes(), (total / np.maximum(times, 1)[:, None]).astype(np.float16).tobytes())])
+        for batch in batches:
+            for block, hit, change in zip(*(batch.column(c).to_pylist() for c in ("block", "times", "change")), strict=True):
+                hit = np.frombuffer(hit, np.uint32)
+                change = np.frombuffer(change, np.float16).reshape(len(hit), -1).astype(np.float32)
+                if block != at:
+                    if at is not None:
+                        yield done()
+                    at, times, total = block, hit, change
+                else:
+                    times, total = times + hit, total + change
+        if at is not None:
+            yield done()
 
+    kind = "block long, times binary, change binary"
     for n in range(ROUNDS):
         sent = spark.sparkContext.broadcast(model)
-        changes = numbered.groupBy("shard").applyInArrow(learner(n, sent), "level int, rows binary, change binary").collect()  # SHARDS times the tables' size at most
-        for level, weights in enumerate((model.class_weights, model.member_weights)):
-            total, times = np.zeros(weights.shape, np.float32), np.zeros(len(weights), np.float32)
-            for c in changes:
-                if c.level == level:
-                    at = np.frombuffer(c.rows, np.int32)
-                    total[at] += np.frombuffer(c.change, np.float16).reshape(len(at), -1)
-                    times[at] += 1
-            weights += total / np.maximum(times, 1)[:, None]
-        sent.destroy()
-        del changes
+        own = numbered.where(~F.col("held_out") & (F.col("round") == n)).select("ids").coalesce(tasks)
+        changes = written(own.mapInArrow(learn(n << 20, sent), kind), "lm-changes")
+        # as many rows as the tables have blocks; half the tables' size
+        for r in changes.repartition("block").sortWithinPartitions("block").mapInArrow(add, kind).collect():
+            part = np.frombuffer(r.change, np.float16).reshape(-1, tables[r.block >> 32].shape[1])
+            start = (r.block & 0xFFFFFFFF) * BLOCK
+            tables[r.block >> 32][start : start + len(part)] += part
+        sent.unpersist()
     return model
 
 
-SCORES = struct(doc_id=T.LongType(), held_out=T.BooleanType(), n_tokens=T.LongType(), n_known=T.LongType(), train_tokens=T.LongType(), base_score=T.DoubleType(), score=T.DoubleType())
+def _change(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["block", "times", "change"])
 
 
-def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: folds, counts, the smoothed unigram score and the model's, both log10 of the text's probability."""
-    spark = docs.sparkSession
-    own = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), fold(F.col(f"`{key}`")).alias("held_out"), F.col(f"`{text}`").alias("text"))
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = written(own.mapInArrow(_split(buckets), PARTS), "lm-chunks")
-    added = written(parts.where("kind = 0").repartition("bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(_add_up, PARTS), "lm-counts")
-    n, distinct = added.where("kind = 4").mapInArrow(_sums, "total long, distinct long").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    top = added.where("kind = 3").mapInArrow(_tops, "hash long, n long").orderBy(F.desc("n"), "hash").limit(SHAPE.words).collect()
-    outcome = {r.hash: i + 1 for i, r in enumerate(top)}
-    common = np.array([r.n for r in top], np.int64)
-    model = Model(SHAPE, common, float(n - common.sum()))
-    if outcome:
-        training = parts.where("kind = 2 and not held_out").count()
-        chosen = hash_sample(own.where(~F.col("held_out")), training, TRAIN_TEXTS, "doc_id", "text")
-        model = _train(chosen.select(F.pmod(F.xxhash64("text"), F.lit(SHARDS)).cast("int").alias("shard"), "text"), model, outcome)
-    sent = spark.sparkContext.broadcast((model, outcome))
-    # all that is not an outcome, an unseen word as well, shares the rare probability by its count
-    rare_total = float(n - common.sum()) + 0.5 * (distinct - len(common)) + 0.5
-    base_total = float(n) + 0.5 * (distinct + 1)
+#: `share`: log10 of the words' shares of their shared outcomes; `ids`: packed outcomes.
+NUMBERED = struct(doc_id=T.LongType(), held_out=T.BooleanType(), round=T.IntegerType(), n_tokens=T.LongType(), n_known=T.LongType(), base_score=T.DoubleType(), share=T.DoubleType(), ids=T.BinaryType())
+SCORES = struct(doc_id=T.LongType(), held_out=T.BooleanType(), n_tokens=T.LongType(), n_known=T.LongType(), train_tokens=T.LongType(), base_score=T.DoubleType(), score=T.DoubleType())
 
-    def score(batches):
-        """Batches are sorted by chunk and kind: a chunk's totals, their numbers, its texts."""
-        model, outcome = sent.value
-        at, blobs, counts, outcomes = None, [], None, None
-        waiting: list[tuple] = []
-        size = 0
-
-        def finish() -> pa.RecordBatch:
-            length = np.array([len(w[2]) for w in waiting])
-            flat = np.concatenate([w[2] for w in waiting])
-            c, g = counts[flat], outcomes[flat]
-            starts = np.cumsum(length) - length
-            base = np.add.reduceat(np.log10(c + 0.5), starts) - length * np.log10(base_total)
-            p = model.log_probs(np.concatenate([model.contexts(x) for x in np.split(g, starts[1:])], 1), g) / np.log(10)
-            p += np.where(g == 0, np.log10(c + 0.5) - np.log10(rare_total), 0.0)
-            columns = [[w[0] for w in waiting], [w[1] for w in waiting], length, np.add.reduceat((c > 0).astype(np.int64), starts), np.full(len(waiting), n), base, np.add.reduceat(p, starts)]
-            waiting.clear()
-            types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=SCORES.names)
 
+def _number(sent, base_total: float):
+    """Texts as outcomes, with all that counts alone decide. Batches are sorted by chunk and kind: a chunk's totals, their numbers, its texts."""
+
+    def run(batches):
+        vocabulary = sent.value
+        at, blobs, counts, outcomes, logs, shares = None, [], None, None, None, None
         for batch in batches:
+            out = []
             for chunk, kind, doc, held, a, b in zip(*(batch.column(c).to_pylist() for c in ("chunk", "kind", "doc_id", "held_out", "a", "b")), strict=True):
                 if chunk != at:
-                    if waiting:
-                        yield finish()
-                    at, blobs, size = chunk, [], 0
+                    at, blobs = chunk, []
                 if kind == 0:
                     blobs.append((a, b))
                 elif kind == 1:
                     hashes, totals = (np.concatenate([np.frombuffer(x[i], np.int64) for x in blobs]) for i in (0, 1))
                     number, blobs = _unpack(a), []
-                    counts, outcomes = np.empty(len(number)), np.zeros(len(number), np.int64)
-                    counts[number] = totals
-                    if len(outcome):
-                        outcomes[number] = np.array([outcome.get(h, 0) if c else 0 for h, c in zip(hashes.tolist(), totals.tolist(), strict=True)])
+                    counts, outcomes = np.empty(len(number), np.int64), np.empty(len(number), np.int64)
+                    counts[number], outcomes[number] = totals, vocabulary.of(hashes)
+                    logs = np.log10(counts + 0.5)
+                    slot = outcomes - SHAPE.single
+                    shares = np.where(slot >= 0, logs - np.log10(vocabulary.shared[np.maximum(slot, 0)]), 0.0)
                 else:
-                    waiting.append((doc, held, _unpack(a)))
-                    size += len(waiting[-1][2])
-                    if size >= PASS_TOKENS:
-                        yield finish()
-                        size = 0
-        if waiting:
-            yield finish()
+                    own = _unpack(a)
+                    base = logs[own].sum() - len(own) * np.log10(base_total)
+                    round_ = xxhash.xxh32_intdigest(a) % ROUNDS
+                    out.append((doc, held, round_, len(own), int((counts[own] > 0).sum()), base, shares[own].sum(), _pack(outcomes[own], 2)))
+            if out:
+                types = (pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=NUMBERED.names)
+
+    return run
 
+
+def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: folds, counts, the smoothed unigram score and the model's, both log10 of the text's probability."""
+    spark = docs.sparkSession
+    own = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), fold(F.col(f"`{key}`")).alias("held_out"), F.col(f"`{text}`").alias("text"))
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = written(own.mapInArrow(_split(buckets), PARTS), "lm-chunks")
+    blobs = parts.where("kind = 0").select("chunk", "bucket", "a", "b", F.explode(F.array(F.lit(0), F.lit(1))).alias("phase"))
+    blobs = blobs.withColumn("b", F.when(F.col("phase") == 0, F.col("b")))
+    added = written(blobs.repartition("bucket").sortWithinPartitions("bucket", "phase", "chunk").mapInArrow(_add_up, PARTS), "lm-counts")
+    sums = np.zeros(2 * SHAPE.slots, np.int64)
+    for r in added.where("kind = 4").mapInArrow(_sums, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
+        sums[r.place] = r.n
+    n, distinct = int(sums[: SHAPE.slots].sum()), int(sums[SHAPE.slots :].sum())
+    top = added.where("kind = 3").mapInArrow(_pairs, "hash long, n long").orderBy(F.desc("n"), "hash").limit(SHAPE.single).collect()
+    vocabulary = Vocabulary(np.array([r.hash for r in top], np.int64), np.array([r.n for r in top], np.int64), sums[: SHAPE.slots], sums[SHAPE.slots :])
+    known = spark.sparkContext.broadcast(vocabulary)
     both = parts.where("kind in (1, 2)").unionByName(added.where("kind = 0"))
-    return both.repartition("chunk").sortWithinPartitions("chunk", "kind", "bucket").mapInArrow(score, SCORES)
+    base_total = float(n) + 0.5 * (distinct + 1)
+    numbered = written(both.repartition("chunk").sortWithinPartitions("chunk", "kind", "bucket").mapInArrow(_number(known, base_total), NUMBERED), "lm-numbered")
+    rows = ROWS[0]
+    while rows < min(ROWS[1], n // TOKENS_ROW):
+        rows *= 2
+    model = Model(replace(SHAPE, pair_rows=rows, member_rows=rows), vocabulary.mass)
+    if n:
+        model = _train(numbered, model, n)
+    sent = spark.sparkContext.broadcast(model)
+
+    def score(batches):
+        model = sent.value
+        for batch in batches:
+            ids = [_unpack(x, 2) for x in batch.column("ids").to_pylist()]
+            length = np.array([len(x) for x in ids])
+            p = np.empty(len(ids))
+            # about PASS_TOKENS at once; every text has its end, so none is empty
+            of = np.cumsum(length) // PASS_TOKENS
+            edges = np.flatnonzero(np.append(True, of[1:] != of[:-1])).tolist()
+            for s, e in zip(edges, [*edges[1:], len(ids)], strict=True):
+                logs = model.log_probs(np.concatenate([model.contexts(x) for x in ids[s:e]], 1), np.concatenate(ids[s:e]))
+                p[s:e] = np.add.reduceat(logs, np.cumsum(length[s:e]) - length[s:e]) / np.log(10)
+            columns = {c: batch.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score")}
+            columns |= {"train_tokens": pa.array(np.full(len(ids), n)), "score": pa.array(p + values(batch, "share"))}
+            yield pa.RecordBatch.from_arrays([columns[c] for c in SCORES.names], names=SCORES.names)
+
+    return numbered.mapInArrow(score, SCORES)
 
 
 def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,9 @@
 """A hashed maximum-entropy language model with a class-factored softmax.
 
-The commonest words are outcomes of their own, dealt into classes by frequency; all other words are one outcome, `rare`, which is a
-class alone and is followed by the word's smoothed share of the rare counts. So the probabilities of all words, one
-unseen word included, sum to one. Class, and word in class, are predicted by weights of n-gram and skip features of the words before: the
-four single words before and the hashed pair. Features of words in classes are hashed together with the class.
+Every word belongs to an outcome: the commonest words have one each, all others are hashed to shared outcomes, inside which a
+word's share is that of its smoothed count. So the probabilities of all words, and of one unseen word in each shared outcome,
+sum to one. Outcomes are dealt into classes. The class is predicted by weights of n-gram and skip features of the words before,
+the four single words before and the hashed pair; the outcome in the class by two of these, hashed together with the class.
 """
 
 from __future__ import annotations
@@ -12,122 +12,148 @@ from dataclasses import dataclass
 
 import numpy as np
 
-RARE = 0
 SKIPS = 4
-BATCH = 8192
+BATCH = 4096
+FEW = 6
+#: Features of outcomes in classes: the word before, and the pair.
+INNER = (0, SKIPS)
 
 
 @dataclass(frozen=True)
 class Shape:
-    classes: int = 32  # the rare one included
-    members: int = 66
-    pair_rows: int = 1 << 14
-    member_rows: int = 1 << 15
+    classes: int = 48
+    members: int = 48
+    #: Classes of shared outcomes, the last ones.
+    shared: int = 12
+    pair_rows: int = 1 << 13
+    member_rows: int = 1 << 13
 
     @property
-    def words(self) -> int:
-        """Outcomes but the rare one."""
-        return (self.classes - 1) * self.members
+    def outcomes(self) -> int:
+        return self.classes * self.members
 
     @property
-    def symbols(self) -> int:
-        """Words as contexts: rare, the outcomes, and before the text."""
-        return self.words + 2
+    def single(self) -> int:
+        """Outcomes of one word: the first ones."""
+        return (self.classes - self.shared) * self.members
+
+    @property
+    def slots(self) -> int:
+        return self.shared * self.members
 
     @property
     def class_rows(self) -> int:
-        return SKIPS * self.symbols + self.pair_rows
+        return SKIPS * (self.outcomes + 1) + self.pair_rows
+
+    def slot(self, hashes: np.ndarray) -> np.ndarray:
+        """The shared outcomes' numbers, from 0, that words' hashes lead to."""
+        return ((hashes.view(np.uint64) >> np.uint64(24)) % np.uint64(self.slots)).astype(np.int64)
 
 
 class Model:
-    """Outcome i > 0 is member (i - 1) % members of class 1 + (i - 1) // members."""
+    """Outcome i is member i % members of class i // members."""
 
-    def __init__(self, shape: Shape, counts: np.ndarray, rare: float):
-        """counts: of the outcomes, commonest first, at most shape.words; rare: of all other words."""
+    def __init__(self, shape: Shape, mass: np.ndarray):
+        """mass: how much of the corpus each outcome has; none for those that no word has."""
         self.shape = shape
-        have = np.zeros(shape.words)
-        have[: len(counts)] = counts
-        by_class = np.concatenate([[rare], have.reshape(shape.classes - 1, shape.members).sum(1)]) + 0.5
-        self.class_bias = np.log(by_class / by_class.sum()).astype(np.float32)
-        member = np.full((shape.classes, shape.members), -np.inf)
-        place = np.arange(shape.words) < len(counts)
+        by_class = mass.reshape(shape.classes, shape.members)
         with np.errstate(divide="ignore"):
-            member[1:] = np.where(place, np.log(have + 1e-9), -np.inf).reshape(shape.classes - 1, shape.members)
-        self.member_bias = np.maximum(member, -30).astype(np.float32)
-        self.member_bias[~np.vstack([np.zeros(shape.members, bool), place.reshape(-1, shape.members)])] = -np.inf
+            self.class_bias = np.log(by_class.sum(1) / mass.sum()).astype(np.float32)
+            self.member_bias = np.log(by_class / np.maximum(by_class.sum(1), 1e-300)[:, None]).astype(np.float32)
         self.class_weights = np.zeros((shape.class_rows, shape.classes), np.float32)
         self.member_weights = np.zeros((shape.member_rows, shape.members), np.float32)
 
     def contexts(self, words: np.ndarray) -> np.ndarray:
         """Rows of the class features of each place, (1 + SKIPS, n); `words` are the outcomes of one text."""
         s = self.shape
-        padded = np.concatenate([np.full(SKIPS, s.symbols - 1), words])
+        symbols = s.outcomes + 1
+        padded = np.concatenate([np.full(SKIPS, symbols - 1), words])
         n = len(words)
         back = [padded[SKIPS - k : SKIPS - k + n] for k in range(1, SKIPS + 1)]
         pair = (back[0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + back[1].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(40)
-        return np.stack([b + k * s.symbols for k, b in enumerate(back)] + [SKIPS * s.symbols + (pair % np.uint64(s.pair_rows)).astype(np.int64)]).astype(np.int32)
+        return np.stack([b + k * symbols for k, b in enumerate(back)] + [SKIPS * symbols + (pair % np.uint64(s.pair_rows)).astype(np.int64)]).astype(np.int32)
 
     def member_rows(self, rows: np.ndarray, of: np.ndarray) -> np.ndarray:
         mixed = (rows.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + of.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)) >> np.uint64(33)
         return (mixed % np.uint64(self.shape.member_rows)).astype(np.int32)
 
     @staticmethod
-    def _log_softmax(logits: np.ndarray) -> np.ndarray:
-        logits -= logits.max(1, keepdims=True)
-        logits -= np.log(np.exp(logits).sum(1, keepdims=True))
-        return logits
+    def _logits(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """`bias` with the weights of all rows added, in place, less the greatest of each place."""
+        moved = np.empty_like(bias)
+        for r in rows:
+            np.take(weights, r, 0, out=moved, mode="clip")
+            bias += moved
+        bias -= bias.max(1, keepdims=True)
+        return bias
 
     def _levels(self, rows: np.ndarray, words: np.ndarray):
-        """Log probabilities of classes for all places, and of members for those that are not rare."""
-        known = np.flatnonzero(words != RARE)
-        of = np.where(words == RARE, 0, 1 + (words - 1) // self.shape.members)
-        logits = self.class_weights[rows[0]]
-        for r in rows[1:]:
-            logits += self.class_weights[r]
-        logits += self.class_bias
-        inner_rows = self.member_rows(rows[:, known], of[known])
-        inner = self.member_weights[inner_rows[0]]
-        for r in inner_rows[1:]:
-            inner += self.member_weights[r]
-        inner += self.member_bias[of[known]]
-        return known, of, self._log_softmax(logits), inner_rows, self._log_softmax(inner)
+        """Logits of all classes, and of all members of the words' own classes."""
+        of = words // self.shape.members
+        outer = self._logits(np.broadcast_to(self.class_bias, (len(words), self.shape.classes)).copy(), self.class_weights, rows)
+        inner_rows = self.member_rows(rows[INNER, :], of)
+        return of, outer, inner_rows, self._logits(self.member_bias.take(of, 0), self.member_weights, inner_rows)
 
     def log_probs(self, rows: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Natural log of each outcome's probability at its place."""
         out = np.empty(len(words))
         for at in range(0, len(words), BATCH):
             w = words[at : at + BATCH]
-            known, of, outer, _, inner = self._levels(rows[:, at : at + BATCH], w)
-            p = outer[np.arange(len(w)), of].astype(np.float64)
-            p[known] += inner[np.arange(len(known)), (w[known] - 1) % self.shape.members]
+            of, outer, _, inner = self._levels(rows[:, at : at + BATCH], w)
+            here = np.arange(len(w))
+            p = outer[here, of].astype(np.float64) + inner[here, w % self.shape.members]
+            for logits in (outer, inner):
+                p -= np.log(np.exp(logits, out=logits).sum(1))
             out[at : at + BATCH] = p
         return out
 
-    def train(self, rows: np.ndarray, words: np.ndarray, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-        """One pass of AdaGrad over shuffled mini-batches; returns which rows of the two tables it touched."""
+    def learner(self) -> Learner:
+        return Learner(self)
+
+
+class Learner:
+    """AdaGrad on a copy of a model's weights; keeps which rows it has touched."""
+
+    START = 1e-2
+
+    def __init__(self, model: Model):
+        self.model = Model.__new__(Model)
+        self.model.__dict__.update(model.__dict__, class_weights=model.class_weights.copy(), member_weights=model.member_weights.copy())
+        self.steps = [np.full(len(w), self.START, np.float32) for w in (model.class_weights, model.member_weights)]
+
+    def train(self, rows: np.ndarray, words: np.ndarray, rate: float, seed: int) -> None:
+        """One pass over shuffled mini-batches."""
+        m = self.model
         order = np.random.default_rng(seed).permutation(len(words))
-        step_outer, step_inner = np.full(len(self.class_weights), 1e-2, np.float32), np.full(len(self.member_weights), 1e-2, np.float32)
-        for at in range(0, len(words), BATCH // 4):
-            part = order[at : at + BATCH // 4]
-            w, r = words[part], rows[:, part]
-            known, of, outer, inner_rows, inner = self._levels(r, w)
-            g = np.exp(outer)
-            g[np.arange(len(w)), of] -= 1
-            self._update(self.class_weights, step_outer, r, g, rate)
-            g = np.exp(inner)
-            g[np.arange(len(known)), (w[known] - 1) % self.shape.members] -= 1
-            self._update(self.member_weights, step_inner, inner_rows, g, rate)
-        return step_outer > 1e-2, step_inner > 1e-2
+        for at in range(0, len(words), BATCH):
+            part = order[at : at + BATCH]
+            w, outer_rows, here = words[part], rows[:, part], np.arange(len(part))
+            of, outer, inner_rows, inner = m._levels(outer_rows, w)
+            for weights, steps, own, g, hit in ((m.class_weights, self.steps[0], outer_rows, outer, of), (m.member_weights, self.steps[1], inner_rows, inner, w % m.shape.members)):
+                np.exp(g, out=g)
+                g /= g.sum(1, keepdims=True)
+                g[here, hit] -= 1
+                for r in own:
+                    self._update(weights, steps, r, g, rate / len(own))
 
     @staticmethod
     def _update(weights: np.ndarray, steps: np.ndarray, rows: np.ndarray, gradient: np.ndarray, rate: float) -> None:
-        for r in rows:
-            if not len(r):
-                continue
-            order = np.argsort(r, kind="stable")
-            own = r[order]
-            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-            g = np.add.reduceat(gradient[order], first, axis=0)
-            hit = own[first]
-            steps[hit] += np.einsum("ij,ij->i", g, g) / g.shape[1]
-            weights[hit] -= (rate / np.sqrt(steps[hit]))[:, None] * g / len(rows)
+        packed = np.sort(rows.astype(np.uint64) << np.uint64(32) | np.arange(len(rows), dtype=np.uint64))
+        own, order = (packed >> np.uint64(32)).astype(np.int64), (packed & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        hit, size = own[first], np.diff(np.append(first, len(own)))
+        # sums of few rows place by place for all groups at once, of many rows group by group
+        moved = gradient.take(order, 0)
+        g = moved.take(first, 0)
+        for i in np.flatnonzero(size > FEW):
+            g[i] = moved[first[i] : first[i] + size[i]].sum(0)
+        few = np.flatnonzero((size > 1) & (size <= FEW))
+        k = 1
+        while len(few):
+            g[few] += moved.take(first[few] + k, 0)
+            k += 1
+            few = few[size[few] > k]
+        step = steps[hit] + np.einsum("ij,ij->i", g, g) / g.shape[1]
+        steps[hit] = step
+        g *= (rate / np.sqrt(step))[:, None]
+        weights[hit] -= g

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tessera.llm import graphs, lm, packing, simhash, suffixes, vectors
-from tessera.llm.maxent import Model, Shape
+from tessera.llm.maxent import Learner, Model, Shape
 
 
 def groups(n, pairs):
@@ -196,22 +197,70 @@ def test_nearest_finds_in_a_dense_cluster():
 
 
 def test_model_is_a_distribution_and_learns():
-    shape = Shape(classes=4, members=5, pair_rows=64, member_rows=256)
-    counts = np.array([90, 50, 30, 20, 10, 9, 8, 7, 6, 5, 4, 3])
-    m = Model(shape, counts, 100.0)
+    shape = Shape(classes=4, members=5, shared=1, pair_rows=64, member_rows=256)
+    mass = np.array([90, 50, 30, 20, 10, 9, 8, 7, 6, 5, 4, 3, 0, 0, 0, 30, 20, 20, 20, 10], float)
+    m = Model(shape, mass)
     rng = np.random.default_rng(0)
-    words = np.concatenate([[1, 2, 3, 0, 5, 6][k % 6 : k % 6 + 1] if rng.random() < 0.9 else rng.integers(0, 13, 1) for k in range(3000)])
+    words = np.concatenate([[1, 2, 3, 17, 5, 6][k % 6 : k % 6 + 1] if rng.random() < 0.9 else rng.choice(np.flatnonzero(mass), 1) for k in range(3000)])
     rows = m.contexts(words)
     before = m.log_probs(rows, words).mean()
+    learner = m.learner()
     for n in range(3):
-        m.train(rows, words, 0.3, n)
+        learner.train(rows, words, 0.3, n)
+    assert not m.class_weights.any()  # the learner has its own
+    m = learner.model
     assert m.log_probs(rows, words).mean() > before + 0.5
-    all_words = np.arange(13)
+    outcomes = np.flatnonzero(mass)
     for place in (0, 1, 77):
-        p = m.log_probs(np.repeat(rows[:, place : place + 1], 13, 1), all_words)
+        p = m.log_probs(np.repeat(rows[:, place : place + 1], len(outcomes), 1), outcomes)
         assert abs(np.exp(p).sum() - 1) < 1e-4
 
 
+def test_updates_are_the_sums_of_the_rows():
+    rng = np.random.default_rng(0)
+    rows, g = np.minimum(rng.zipf(1.3, 3000), 499).astype(np.int32), rng.normal(size=(3000, 7)).astype(np.float32)
+    weights, steps = np.zeros((500, 7), np.float32), np.full(500, 1e-2, np.float32)
+    Learner._update(weights, steps, rows, g, 0.3)
+    total = np.zeros((500, 7))
+    np.add.at(total, rows, g)
+    own = 1e-2 + (total**2).mean(1)
+    assert np.allclose(steps, np.where(total.any(1), own, 1e-2), rtol=1e-3) and np.allclose(weights, -0.3 * total / np.sqrt(own)[:, None], atol=1e-4)
+
+
+def test_shares_of_words_add_up():
+    """Over a whole vocabulary, one unseen word in each shared outcome included, a word's share of its outcome sums to one."""
+    rng = np.random.default_rng(1)
+    hashes = np.unique(rng.integers(-(1 << 62), 1 << 62, 20000))
+    counts = np.minimum(rng.zipf(1.4, len(hashes)), 5000)
+    order = np.lexsort((hashes, -counts))
+    slot, top = lm.SHAPE.slot(hashes), order[: lm.SHAPE.single]
+    v = lm.Vocabulary(hashes[top], counts[top], np.bincount(slot, counts, lm.SHAPE.slots), np.bincount(slot, minlength=lm.SHAPE.slots))
+    of = v.of(hashes)
+    assert (of[top] == np.arange(len(top))).all() and (np.delete(of, top) >= lm.SHAPE.single).all()
+    rest = np.delete(np.arange(len(hashes)), top)
+    share = np.bincount(of[rest] - lm.SHAPE.single, (counts[rest] + 0.5) / v.shared[of[rest] - lm.SHAPE.single], lm.SHAPE.slots) + 0.5 / v.shared
+    assert np.allclose(share, 1) and math.isclose(v.mass.sum(), counts.sum() + 0.5 * (len(hashes) + lm.SHAPE.slots))
+
+
+def test_bucket_sums_with_many_merges(monkeypatch):
+    monkeypatch.setattr(lm, "MERGE", 50)
+    rng = np.random.default_rng(0)
+    chunks = [np.unique(rng.integers(0, 300, 40)) for _ in range(30)]
+    counts = [rng.integers(0, 5, len(c)).astype(np.uint32) for c in chunks]
+    want = Counter()
+    for c, n in zip(chunks, counts, strict=True):
+        want.update(dict(zip(c.tolist(), n.tolist(), strict=True)))
+    rows = [(7, p, k, c.tobytes(), n.tobytes() if p == 0 else None) for p in (0, 1) for k, (c, n) in enumerate(zip(chunks, counts, strict=True))]
+    types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 9], strict=True), types, strict=True)], names=["bucket", "phase", "chunk", "a", "b"]) for i in range(0, 60, 9)]
+    out = [r for b in lm._add_up(batches) for r in b.to_pylist()]
+    assert [r["kind"] for r in out] == [3, 4, *[0] * 30]
+    for r, c in zip(out[2:], chunks, strict=True):
+        assert np.frombuffer(r["b"], np.int64).tolist() == [want[x] for x in c.tolist()]
+    sums = np.frombuffer(out[1]["a"], np.int64)
+    assert sums[: lm.SHAPE.slots].sum() == sum(want.values()) and sums[lm.SHAPE.slots :].sum() == sum(n > 0 for n in want.values())
+
+
 def test_lm_scores(spark, tiny):
     docs = spark.read.parquet(f"{tiny}/documents.parquet").toPandas()
     tokens = {i: "".join(c.lower() if "A" <= c <= "Z" else c for c in t).encode().split() + [b" "] for i, t in zip(docs.doc_id, docs.text, strict=True)}
