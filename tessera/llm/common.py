@@ -28,9 +28,14 @@ _watching: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVa
 BATCH_BYTES = 8 << 20
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table; from now on the session's Arrow batches are bounded in bytes too."""
+def bounded(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches are bounded in bytes too."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table, to be read in bounded batches."""
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -47,6 +52,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` written as Parquet to the shared folder and read back: lineage is cut, and lost executors lose nothing."""
     spark = df.sparkSession
+    bounded(spark)
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     if not scratch:
