@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .anchors import anchors
-from .common import fresh, keep_only, put, struct, table, texts, values, whole_groups, written
+from .common import fresh, keep_only, put, sieve, struct, table, texts, values, whole_groups, written
 
 LENGTH = 400
 PROBE = 128
@@ -185,18 +185,19 @@ def repeated_spans(docs: DataFrame, key: str, text: str, hash_: str, length: int
     low = F.greatest("first", "block")
     high = F.when(F.col("covers") > SHARED, F.least(F.col("last"), F.col("block") + (OFFSETS - 1))).otherwise(F.col("last"))
     edges = edges.select("doc_id", "text_hash", "probe", "cover", low.alias("low"), (low - F.col("first")).alias("from"), (high - low + length).alias("size"), F.when(F.col("covers") > SHARED, F.col("block") - F.col("place")).otherwise(F.lit(0)).alias("offset"))
-    # the same rows, columns and keys as in the last join, which then needs no shuffle of the texts of its own
-    same = docs[key].cast("long").eqNullSafe(edges["doc_id"]) & (docs[hash_] == edges["text_hash"])
-    whole_text = F.encode(F.coalesce(docs[text], F.lit("")), "UTF-8")
-    cut = docs.join(edges, same).select(
-        F.xxhash64("probe", "offset").alias("shard"), "probe", "cover", "from", F.substring(whole_text, F.col("low") + 1, F.col("size")).alias("context")
+    # texts without such an anchor are not moved
+    whole_texts = own.select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"), "text")
+    likely = sieve(whole_texts, "own_hash", live.where("covers > 1").select(F.col("text_hash").alias("own_hash")), "likely").where("likely")
+    same = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash"))
+    cut = likely.join(edges, same).select(
+        F.xxhash64("probe", "offset").alias("shard"), "probe", "cover", "from", F.substring(F.encode("text", "UTF-8"), F.col("low") + 1, F.col("size")).alias("context")
     )
     parts = cut.repartition("shard").sortWithinPartitions("shard").mapInArrow(_resolve(length), "probe long, cover long, parts array<int>")
     # pairs of bounds, of windows, from the first window on
     parts = parts.select("probe", "cover", F.transform(F.sequence(F.lit(0), F.size("parts") - 1, F.lit(2)), lambda i: F.struct(F.get("parts", i).alias("s"), F.get("parts", i + 1).alias("e"))).alias("part"))
     whole = live.where("whole").select("probe", "cover", F.array(F.struct(F.lit(0).alias("s"), (F.col("last") - F.col("first") + 1).alias("e"))).alias("part"))
     solved = whole.union(parts.join(live.where("not whole").select("probe", "cover"), ["probe", "cover"], "left_semi"))
-    hits = found.join(solved, ["probe", "cover"]).select("doc_id", "text_hash", F.explode("part").alias("p"), "first")
+    hits = sieve(found, "probe", live, "likely").where("likely").join(solved, ["probe", "cover"]).select("doc_id", "text_hash", F.explode("part").alias("p"), "first")
     span = F.struct((F.col("first") + F.col("p.s")).alias("s"), (F.col("first") + F.col("p.e") + (length - 1)).alias("e"))
     return hits.select("doc_id", "text_hash", span.alias("span")).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("span")).alias("spans"))
 
@@ -269,8 +270,16 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", out:
             rows.append({"n_bytes": len(data), "n_removed": sum(e - s for s, e in runs), "runs": [{"s": s, "e": e} for s, e in runs], "kept": cut(data, runs)})
         return pa.array(rows, pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("runs", run_type), ("kept", kept_type)]))
 
+    spans = written(spans, "spans")
+    hit = "hit"
+    while any(c.lower() in (hit, f"{hit}_bucket", f"{hit}_map") for c in docs.columns):
+        hit += "_"
     same = F.col(f"`{key}`").cast("long").eqNullSafe(F.col(id_)) & (F.col(hash_) == F.col(of_))
-    joined = docs.join(spans, same, "left")
+    # rows whose text surely has no spans are not moved
+    sifted = sieve(docs, hash_, spans.select(F.col(of_).alias(hash_)), hit)
+    clean = sifted.where(~F.col(hit)).drop(hit)
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in spans.schema.fields]
+    joined = sifted.where(F.col(hit)).drop(hit).join(spans, same, "left").union(clean.select("*", *nothing))
     kind = _removed(T.StringType() if characters else T.BinaryType())
     return put(joined, out, F.arrow_udf(remove, kind).asNondeterministic()(F.col(f"`{text}`"), F.col(spans_))).drop(id_, hash_, of_, spans_)
 
