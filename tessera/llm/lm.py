@@ -81,13 +81,11 @@ def _split(buckets: int):
     def run(batches):
         part, number = TaskContext.get().partitionId(), 0
         known = words = None
-        size, counts = 0, []
+        size, training = 0, []
 
         def flush():
             hashes = word_hashes(list(known))
-            total = np.zeros(len(hashes), np.uint32)
-            for c in counts:
-                total[: len(c)] += c
+            total = np.bincount(np.concatenate([np.empty(0, np.int64), *training]), minlength=len(hashes)).astype(np.uint32)
             of = (hashes.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((np.arange(len(of)), of))  # a bucket's words in the order of their numbers
             edge = np.flatnonzero(np.append(True, np.diff(of[order]) != 0))
@@ -100,16 +98,11 @@ def _split(buckets: int):
         for batch in batches:
             for doc, held, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text")), strict=True):
                 if known is None:
-                    known, words, size, counts = defaultdict(count().__next__), [], 0, []
+                    known, words, size, training = defaultdict(count().__next__), [], 0, []
                 own = tokens(text or "")
                 ids = np.fromiter(map(known.__getitem__, own), np.int64, len(own))
                 if not held:
-                    counts.append(np.bincount(ids).astype(np.uint32))
-                    if len(counts) >= 64:
-                        most = np.zeros(len(known), np.uint32)
-                        for c in counts:
-                            most[: len(c)] += c
-                        counts = [most]
+                    training.append(ids)
                 words.append((part << 24 | number, 2, None, doc, held, _pack(ids), None))
                 size += len(text or "")
                 if size >= CHUNK:
