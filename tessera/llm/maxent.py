@@ -145,8 +145,9 @@ class Learner:
         # sums of few rows place by place for all groups at once, of many rows group by group
         moved = gradient.take(order, 0)
         g = moved.take(first, 0)
+        ones = np.ones(len(rows), np.float32)
         for i in np.flatnonzero(size > FEW):
-            g[i] = moved[first[i] : first[i] + size[i]].sum(0)
+            np.dot(ones[: size[i]], moved[first[i] : first[i] + size[i]], out=g[i])
         few = np.flatnonzero((size > 1) & (size <= FEW))
         k = 1
         while len(few):
