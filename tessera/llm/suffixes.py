@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .anchors import anchors
-from .common import fresh, keep_only, put, sieve, struct, table, texts, values, whole_groups, written
+from .common import fresh, keep_only, put, release, scratch_of, sieve, struct, table, texts, values, whole_groups, written
 
 LENGTH = 400
 PROBE = 128
@@ -256,7 +256,10 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", out:
     """
     id_, hash_, of_, spans_ = fresh(docs, "id", "hash", "of_hash", "spans")
     docs = docs.withColumn(hash_, F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
-    spans = repeated_spans(docs, key, text, hash_, length, probe).select(F.col("doc_id").alias(id_), F.col("text_hash").alias(of_), F.col("spans").alias(spans_))
+    with scratch_of() as made:
+        spans = repeated_spans(docs, key, text, hash_, length, probe).select(F.col("doc_id").alias(id_), F.col("text_hash").alias(of_), F.col("spans").alias(spans_))
+        spans = written(spans, "spans")
+    release(docs.sparkSession, made[:-1])  # nothing reads the anchors any more
     run_type = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
     kept_type = pa.string() if characters else pa.binary()
 
@@ -270,7 +273,6 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", out:
             rows.append({"n_bytes": len(data), "n_removed": sum(e - s for s, e in runs), "runs": [{"s": s, "e": e} for s, e in runs], "kept": cut(data, runs)})
         return pa.array(rows, pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("runs", run_type), ("kept", kept_type)]))
 
-    spans = written(spans, "spans")
     hit = "hit"
     while any(c.lower() in (hit, f"{hit}_bucket", f"{hit}_map") for c in docs.columns):
         hit += "_"
