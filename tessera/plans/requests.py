@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import encode, rank, requests, respond
+from ..sources import dialects
 from .common import plain, shared, table
 
 #: name, task, dimension, token limit, place in the configuration.
@@ -195,15 +197,30 @@ def api_keys(spark, sf_dir):
 
 
 def response_parse(spark, sf_dir):
-    """Scores from responses that list them by rank under either name, back in document order."""
-    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.char_length("text").alias("n"))
+    """Scores from responses of either dialect, listed by rank, back in document order."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", F.char_length("text").alias("n"), F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("place"))
     # the response, as a server would render it: longest text first
-    items = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), F.col("turn").alias("index"), F.col("n"))))
-    name = F.when(F.col("conv_id") % 2 == 0, "relevance_score").otherwise("score")
-    body = F.concat(F.lit('{"results":['), F.array_join(F.transform("items", lambda x: F.concat(F.lit('{"index":'), x["index"].cast("string"), F.lit(',"'), F.col("name"), F.lit('":'), x["n"].cast("string"), F.lit("}"))), ","), F.lit("]}"))
-    bodies = t.groupBy("conv_id").agg(items.alias("items")).withColumn("name", name).select("conv_id", body.alias("body"))
-    parsed = bodies.select("conv_id", F.from_json("body", "results array<struct<index:bigint,relevance_score:double,score:double>>").alias("r"))
-    return parsed.select("conv_id", F.explode("r.results").alias("x")).select("conv_id", F.col("x.index").alias("turn"), F.coalesce("x.relevance_score", "x.score").alias("score"))
+    items = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), (F.col("place") - 1).alias("index"), F.col("n"))))
+    grouped = t.groupBy("conv_id").agg(items.alias("items"), F.count("*").alias("documents"))
+    named = F.to_json(F.struct(F.transform("items", lambda x: F.struct(x["index"].alias("index"), x["n"].alias("relevance_score"))).alias("results")))
+    bare = F.to_json(F.transform("items", lambda x: F.struct(x["index"].alias("index"), x["n"].alias("score"))))
+    bodies = grouped.select("conv_id", "documents", F.when(F.col("conv_id") % 2 == 0, named).otherwise(bare).alias("body"))
+    parsed = dialects.scores(bodies, "body", "documents")
+    return parsed.select("conv_id", F.posexplode("scores").alias("place", "score")).select("conv_id", "place", F.col("score").cast("double").alias("score"))
+
+
+def embedding_responses(spark, sf_dir):
+    """Vectors from responses of eight, listed last first, back in order."""
+    t = table(spark, sf_dir, "embeddings").select((F.col("vec_id") - F.pmod("vec_id", F.lit(8))).alias("response"), F.pmod("vec_id", F.lit(8)).alias("index"), "embedding")
+    data = F.reverse(F.array_sort(F.collect_list(F.struct("index", "embedding"))))
+    bodies = t.groupBy("response").agg(F.to_json(F.struct(data.alias("data"))).alias("body"))
+    found = dialects.embeddings(bodies, "body").select("response", F.posexplode("vectors").alias("place", "vector"))
+    return found.select("response", "place", F.size("vector").alias("width"), F.round(F.get("vector", F.lit(0)).cast("double"), 6).alias("first"), F.round(F.element_at("vector", -1).cast("double"), 6).alias("last"))
+
+
+EMBEDDING_RESPONSES = """
+SELECT vec_id - vec_id % 8 AS response, CAST(row_number() OVER (PARTITION BY vec_id - vec_id % 8 ORDER BY vec_id) - 1 AS INTEGER) AS place, CAST(len(embedding) AS INTEGER) AS width,
+  round(CAST(embedding[1] AS DOUBLE), 6) AS "first", round(CAST(embedding[-1] AS DOUBLE), 6) AS "last" FROM embeddings"""
 
 
 def malformed_bodies(spark, sf_dir):
@@ -248,7 +265,8 @@ QUERIES = {
     "embed_fake": (embed_fake, "SELECT conv_id, CAST(sum(length(text)) AS DOUBLE) AS first_components, CAST(sum(least(length(text), 20)) AS BIGINT) AS prompt_tokens, coalesce(min(turn) FILTER (WHERE length(text) > 20), -1) AS first_truncated FROM conversations GROUP BY conv_id"),
     "bearer_check": (bearer_check, BEARER),
     "api_keys": (api_keys, "SELECT unnest(['a', 'b', 'b', 'c']) AS api_key"),
-    "response_parse": (response_parse, "SELECT conv_id, turn, CAST(length(text) AS DOUBLE) AS score FROM conversations"),
+    "response_parse": (response_parse, "SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS place, CAST(length(text) AS DOUBLE) AS score FROM conversations"),
+    "embedding_responses": (embedding_responses, EMBEDDING_RESPONSES),
     "malformed_bodies": (malformed_bodies, "SELECT conv_id, turn, turn % 3 = 1 AS malformed, CASE WHEN turn % 3 <> 1 THEN role END AS text FROM conversations"),
     "error_statuses": (error_statuses, ERRORS),
     "rerank_responses": (rerank_responses, RESPONSES),
