@@ -38,6 +38,13 @@ def format_number(x: Column, digits: int = 1) -> Column:
     return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), "-").otherwise(F.format_string(f"%.{digits}f", x))
 
 
+def format_bytes(x: Column) -> Column:
+    """Whole KiB, or MiB with one digit from one MiB on; a dash where there is no finite number."""
+    mib = F.concat(format_number(x / (1 << 20), 1), F.lit(" MiB"))
+    kib = F.concat(format_number(x / 1024, 0), F.lit(" KiB"))
+    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), "-").when(x >= 1 << 20, mib).otherwise(kib)
+
+
 def label(name: Column) -> Column:
     """Display names of targets.  Fixed values of the report format."""
     return F.when(name == "tei", "TEI").when(name == "infinity", "Infinity").otherwise(name)

@@ -9,19 +9,24 @@ WORDS = "the of and model query server text vector search index cache batch il d
 #: Fixed values of the workloads: texts a payload, words a text, and whether a query goes with them.
 WORKLOADS = {"query": (1, 6, 16, False), "ingest": (32, 50, 380, False), "rerank": (32, 30, 230, True)}
 QUERY_WORDS = (6, 16)
+#: What may follow a word inside a text, some twice as often.  Fixed values of the workloads.
+MARKS = (".", ",", ";", ".", ",")
 
 
 def _text(seed: Column, low: int, high: int) -> Column:
-    """A sentence of low to high words, decided by the hash of the seed alone; one word in twelve is followed by a stop."""
+    """Low to high words, decided by the hash of the seed alone; a mark behind one word in twelve, a stop behind the last."""
     n = (F.pmod(F.xxhash64(seed, F.lit("n")), F.lit(high - low + 1)) + low).cast("int")
     vocabulary = F.array(*[F.lit(w) for w in WORDS])
 
+    def mark(i: Column) -> Column:
+        """One hash decides whether there is a mark, and which."""
+        k = F.pmod(F.xxhash64(seed, i, F.lit("mark")), F.lit(12 * len(MARKS))).cast("int")
+        return F.coalesce(F.get(F.array(*[F.lit(m) for m in MARKS]), k), F.lit(""))
+
     def word(i: Column) -> Column:
         w = F.get(vocabulary, F.pmod(F.xxhash64(seed, i), F.lit(len(WORDS))).cast("int"))
-        stop = (F.pmod(F.xxhash64(seed, i, F.lit("stop")), F.lit(12)) == 0) | (i == n)
-        after_stop = (i == 1) | (F.pmod(F.xxhash64(seed, i - 1, F.lit("stop")), F.lit(12)) == 0)
-        cased = F.when(after_stop, F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 100))).otherwise(w)
-        return F.concat(cased, F.when(stop, ".").otherwise(""))
+        cased = F.when((i == 1) | (mark(i - 1) == "."), F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 100))).otherwise(w)
+        return F.concat(cased, F.when(i == n, ".").otherwise(mark(i)))
 
     return F.array_join(F.transform(F.sequence(F.lit(1), n), word), " ")
 

@@ -293,12 +293,24 @@ def test_reports(spark):
     assert json.loads(reports.json_rows(df).first().value) == {"workload": "query", "target": "tei", "concurrency": 4, "rps": 10.25, "p90": 2.0}
 
 
+def test_format_bytes(spark):
+    df = spark.createDataFrame([(x,) for x in (0.0, 1536.0, 1048575.0, 1048576.0, 2.5 * 1048576, float("nan"), float("inf"), None)], "x double")
+    assert [r[0] for r in df.select(scalars.format_bytes(F.col("x"))).collect()] == ["0 KiB", "2 KiB", "1024 KiB", "1.0 MiB", "2.5 MiB", "-", "-", "-"]
+
+
 def test_corpus(spark):
     get = lambda w, seed: corpus.payloads(spark, w, seed, 5).collect()
     assert get("rerank", 1) == get("rerank", 1) != get("rerank", 2)
     for r in get("rerank", 1):
         assert len(r.texts) == 32 and 6 <= len(r.query.split()) <= 16 and all(30 <= len(t.split()) <= 230 and t[0].isupper() and t.endswith(".") for t in r.texts)
     assert all(r.query is None and len(r.texts) == 1 for r in get("query", 1))
+    words = [t.split() for r in get("ingest", 3) for t in r.texts]
+    inner = [(w, after) for own in words for w, after in zip(own, own[1:], strict=False)]
+    # a capital stands behind a stop, and only there
+    assert all(after[0].isupper() == (w[-1] == ".") for w, after in inner)
+    marks = [w[-1] for w, _ in inner if not w[-1].isalpha()]
+    assert set(marks) == {",", ".", ";"} and 0.06 < len(marks) / len(inner) < 0.11
+    assert 0.33 < marks.count(".") / len(marks) < 0.47 and 0.13 < marks.count(";") / len(marks) < 0.27
 
 
 def test_admission(spark):
