@@ -41,12 +41,13 @@ ROUTE, NO_TERM = 3, 1 << 16
 #: Documents that the cells' centres are fitted on, cells at most, numbers of a hashed vector, passes of the fit.
 SAMPLE, CELLS, WIDTH, ROUNDS = 4096, 256, 256, 8
 K1, B = 1.2, 0.75
-#: Words, and parts of words, that a worker keeps of those used lately.
-CACHE, PARTS = 300_000, 150_000
+#: Words and parts of words, in one table, that a worker keeps of those used lately.
+CACHE = 450_000
 
 #: Words of these characters are composed and lower-cased character by character, and split at the classes' edges only.
 _SIMPLE = re.compile(r"[!-~À-ÖØ-öø-įı-ſ]+")
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
+_ASCII_PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 class WordEncoder:
@@ -58,25 +59,36 @@ class WordEncoder:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids need more than 16 bits")
         self.model = self.tokenizer.model
+        self.model._resize_cache(0)  # few of the parts that are not known here are known there
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the byte-level alphabet shows other bytes as characters from 256 on
         hidden = [b for b in range(256) if b not in visible]
         self.alphabet = {b: 256 + i for i, b in enumerate(hidden)}
-        self.parts = Memo(self._part, PARTS)
+        # a part is, as a word, one part
         self.words = Memo(self._word, CACHE)
 
     def _part(self, part: str) -> bytes:
         """What the model makes of one whole part, in the alphabet that it is given its input in."""
-        if not part.isascii():
-            part = part.encode().decode("latin-1").translate(self.alphabet)
         return array("H", [t.id for t in self.model.tokenize(part)]).tobytes()
 
     def _word(self, word: bytes) -> bytes:
+        known = self.words
+        if word.isalpha():  # of ASCII letters
+            return self._part(word.decode()) if word.islower() else known[word.lower()]
+        if word[:-1].isalpha() and 33 <= word[-1] < 127:
+            return known[word[:-1]] + known[word[-1:]]
         text = word.decode()
-        if text.isascii() and text.isalpha():
-            return self.parts[text.lower()]
-        if text.isascii() and text.isprintable() or _SIMPLE.fullmatch(text):
-            return b"".join(map(self.parts.__getitem__, _PARTS.findall(text.lower())))
-        return array("H", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+        if text.isascii() and text.isprintable():
+            parts = _ASCII_PARTS.findall(word.lower())
+        elif _SIMPLE.fullmatch(text):
+            parts = [p.encode() for p in _PARTS.findall(text.lower())]
+        else:
+            return array("H", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+        if len(parts) > 1:
+            return b"".join(map(known.__getitem__, parts))
+        (part,) = parts
+        if part != word:
+            return known[part]
+        return self._part(text if text.isascii() else word.decode("latin-1").translate(self.alphabet))
 
 
 @lru_cache(2)
@@ -230,7 +242,7 @@ def retrieval_packing(docs: DataFrame, key: str = "doc_id", text: str = "text",
     path = path or public_tokenizers.path(VOCABULARY)
 
     def tokenize(column: pa.Array) -> pa.Array:
-        keep_only(_encoder(path).words, _encoder(path).parts)
+        keep_only(_encoder(path).words)
         return pa.array([encode_text(t, path) for t in texts(column)], pa.binary())
 
     own = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))

@@ -325,6 +325,16 @@ def test_packing_tokens_are_the_library_s():
         assert np.frombuffer(packing.encode_text(t, path), np.uint16).tolist() == [*e.ids, 2], t
 
 
+def test_packing_asks_the_model_once_a_part(monkeypatch):
+    encoder = packing.WordEncoder(packing.public_tokenizers.path(packing.VOCABULARY))
+    asked = []
+    monkeypatch.setattr(encoder, "_part", lambda part, make=encoder._part: asked.append(part) or make(part))
+    words = [b"alpha", b"alpha.", b"Alpha,", b"alpha", b"it's", b"gr\xc3\xbcn.", b"gr\xc3\xbcn"]
+    ids = [encoder.words[w] for w in words]
+    assert [np.frombuffer(x, np.uint16).tolist() for x in ids] == [encoder.tokenizer.encode(w.decode(), add_special_tokens=False).ids for w in words]
+    assert len(asked) == len(set(asked)) == 6  # alpha . , it 's grün: words and parts are one table
+
+
 def test_packing_neighbours_share_words():
     rng = np.random.default_rng(0)
     docs = [rng.integers(100 * (i % 4) + 10, 100 * (i % 4) + 60, 900).astype(np.uint16) for i in range(40)]
