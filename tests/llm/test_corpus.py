@@ -149,6 +149,47 @@ def test_suffix_dedup_keeps_whole_characters(spark):
     assert sorted(r.dedup.kept for r in suffixes.suffix_dedup(df, characters=True).collect()) == ["aê", "bë"]
 
 
+def brute_words(texts, n):
+    """Of each text the byte runs from the first to the last of neighbouring words that repeated strings of `n` words cover; of ASCII texts."""
+    words = [[(m.group(), m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t)] for t in texts]
+    windows = [[tuple(x[0] for x in w[i : i + n]) for i in range(len(w) - n + 1)] for w in words]
+    count = Counter(x for w in windows for x in w)
+    out = []
+    for w, own in zip(words, windows, strict=True):
+        gone = {i + k for i, x in enumerate(own) if count[x] > 1 for k in range(n)}
+        out.append([(w[s][1], w[next(e for e in range(s, len(w)) if e + 1 not in gone)][2]) for s in sorted(gone) if s - 1 not in gone])
+    return out
+
+
+def test_repeated_passages_of_short_words_go(spark):
+    """51 words of under 240 bytes, and 51 words that are wrapped differently; 50 words stay."""
+    random.seed(11)
+    word = lambda low, high: "".join(random.choice("abcdefghijklmnopq") for _ in range(random.randint(low, high)))
+    sentence = lambda n, low=4, high=8: " ".join(word(low, high) for _ in range(n))
+    short, fifty, wrapped = sentence(51, 1, 3), sentence(50, 1, 3), sentence(51)
+    assert len(short) < 200 < 240 < len(wrapped)
+    texts = [f"{sentence(30)} {p} {sentence(30)}" for p in (short, fifty, wrapped) for _ in range(2)] + [f"{sentence(30)}\n{wrapped.replace(' ', chr(10) + ' ')}", short]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.repeats(spark, docs, "").collect()}
+    assert all(short not in r.text for r in got.values()) and sum(fifty in r.text for r in got.values()) == 2 and sum(wrapped.split()[25] in r.text for r in got.values()) == 0
+    assert got[7].text == "" and got[2].text == texts[2] and all(r.n_chars == len(r.text) for r in got.values())
+    assert got[0].text == texts[0].replace(short, "")
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_repeated_words_are_exact(spark, small, monkeypatch):
+    if small:
+        for k, v in (("SHARED", 3), ("OFFSETS", 4), ("BATCH", 64), ("SHARD", 300)):
+            monkeypatch.setattr(suffixes, k, v)
+    random.seed(4)
+    pool = [[random.choice(["a", "bb", "c", "dd", "e"]) for _ in range(random.randint(5, 30))] for _ in range(12)]
+    texts = ["".join(w + random.choice([" ", "  ", "\n"]) for _ in range(random.randint(0, 8)) for w in (random.choice(pool) if random.random() < 0.5 else [f"w{random.randrange(10**6)}"] * random.randint(1, 12))) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.dedup.kept for r in suffixes.suffix_dedup(df, length=4000, probe=200, characters=True, words=9).collect()}
+    want = {i: suffixes.cut(t.encode(), runs).decode() for i, (t, runs) in enumerate(zip(texts, brute_words(texts, 9), strict=True))}
+    assert got == want and sum(want[i] != t for i, t in enumerate(texts)) > 100
+
+
 def test_index_family_merges_geometrically():
     text = np.frombuffer(random.Random(1).randbytes(4000), np.uint8)
     family = suffixes.IndexFamily(text, 50)
